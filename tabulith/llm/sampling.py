@@ -69,33 +69,33 @@ def repair(plan: Plan, available: dict[tuple, int], rng: random.Random) -> None:
     wanted = {s: sum(share for _, share, _ in t) * plan.size for s, t in plan.targets.items()}
     floors = _floors(plan, available)
     counts = _start(plan, available, rng)
-    goal = lambda s: wanted.get(s, 0.0)
-    # the gain of one more row of a signature, and of one row less, by heaps with stale entries
-    more = [(2 * (counts.get(s, 0) - goal(s)) + 1, str(s), s) for s in available if counts.get(s, 0) < available[s]]
-    less = [(-2 * (counts[s] - goal(s)) + 1, str(s), s) for s in counts if counts[s] > floors.get(s, 0)]
-    heapq.heapify(more)
-    heapq.heapify(less)
-    while more and less:
-        up, _, a = more[0]
-        down, _, b = less[0]
-        now_up, now_down = 2 * (counts.get(a, 0) - goal(a)) + 1, -2 * (counts.get(b, 0) - goal(b)) + 1
-        if up != now_up or counts.get(a, 0) >= available[a]:
-            heapq.heappop(more)
-            if counts.get(a, 0) < available[a]:
-                heapq.heappush(more, (now_up, str(a), a))
+    off = lambda s: counts.get(s, 0) - wanted.get(s, 0.0)
+    # signatures by how far they are from their target, with room for more or rows to give;
+    # every change adds a fresh entry, and entries that no longer hold are dropped when met
+    short = [(off(s), str(s), s) for s in available if counts.get(s, 0) < available[s]]
+    over = [(-off(s), str(s), s) for s in counts if counts[s] > floors.get(s, 0)]
+    heapq.heapify(short)
+    heapq.heapify(over)
+    while short and over:
+        lack, _, a = short[0]
+        excess, _, b = over[0]
+        if lack != off(a) or counts.get(a, 0) >= available[a]:
+            heapq.heappop(short)
             continue
-        if down != now_down or counts.get(b, 0) <= floors.get(b, 0):
-            heapq.heappop(less)
-            if counts.get(b, 0) > floors.get(b, 0):
-                heapq.heappush(less, (now_down, str(b), b))
+        if -excess != off(b) or counts.get(b, 0) <= floors.get(b, 0):
+            heapq.heappop(over)
             continue
-        if a == b or up + down >= -1e-9:
+        gap = -excess - lack
+        # an exchange of one row lowers the squared deviation if the two are more than one row apart
+        if a == b or gap <= 1 + 1e-9:
             break
-        counts[a] = counts.get(a, 0) + 1
-        counts[b] -= 1
-        plan.swaps += 1
-        for heap, value, s in ((more, 2 * (counts[a] - goal(a)) + 1, a), (less, -2 * (counts[a] - goal(a)) + 1, a), (more, 2 * (counts[b] - goal(b)) + 1, b), (less, -2 * (counts[b] - goal(b)) + 1, b)):
-            heapq.heappush(heap, (value, str(s), s))
+        rows = min(max(1, math.floor(gap / 2)), available[a] - counts.get(a, 0), counts[b] - floors.get(b, 0))
+        counts[a] = counts.get(a, 0) + rows
+        counts[b] -= rows
+        plan.swaps += rows
+        for s in (a, b):
+            heapq.heappush(short, (off(s), str(s), s))
+            heapq.heappush(over, (-off(s), str(s), s))
     plan.counts = {s: n for s, n in counts.items() if n}
 
 
