@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scoring", "evidence")
+_MODULES = ("scoring", "evidence", "review")
 
 
 def _merged(name: str) -> dict:
