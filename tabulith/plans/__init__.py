@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scoring", "evidence", "review")
+_MODULES = ("scoring", "evidence", "review", "building")
 
 
 def _merged(name: str) -> dict:
