@@ -105,7 +105,7 @@ def _plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], blocks:
         wanted = Fraction(str(share or 0)) * total
         capacity = own * max(0, repeats or 0)
         given = min(wanted, Fraction(capacity))
-        report.append({"source": source, "own_size": own, "target_share": share, "max_repeats": repeats, "target_size": float(wanted), "capacity": capacity, "given_size": int(given), "met": capacity >= wanted})
+        report.append({"source": source, "own_size": own, "target_share": share, "max_repeats": repeats, "target_size": float(wanted), "capacity": capacity, "given_size": int(given), "met": own > 0 and capacity >= wanted})
     whole = sum(r["given_size"] for r in report)
     counts = {r["source"]: math.ceil(r["given_size"] / block) for r in report}
     places = sum(counts.values())
@@ -130,7 +130,7 @@ def _targets(targets: DataFrame, source: str) -> list[tuple[str, float, int]]:
 def shares(docs: DataFrame, targets: DataFrame, source: str = "source", text: str = "text", blocks: int = BLOCKS, tokenizers: str = TOKENIZERS) -> DataFrame:
     """What each listed source has, should give and gives, with its actual share of the mixture.
 
-    met tells whether a source's size times max_repeats reaches its target size. Sources
+    met tells whether a source has tokens and its size times max_repeats reaches its target size. Sources
     without documents, and empty tables, have size 0; documents of null or unlisted
     sources do not take part.
     """
