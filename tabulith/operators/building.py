@@ -68,8 +68,8 @@ def coverage(claims: DataFrame, places: DataFrame, claim_key: str, group: str, p
     claims: (claim_key, group, numbers); places: (group, place, norm), distinct. Places without
     any of the numbers give no row. Numbers meet by equality; repeats of a number weigh.
     """
-    asked = claims.where(F.size("numbers") > 0).select(claim_key, group, F.size("numbers").alias("n"), F.explode("numbers").alias("norm")).groupBy(claim_key, group, "n", "norm").agg(F.count("*").alias("k"))
-    return asked.join(places, [group, "norm"]).groupBy(claim_key, group, "n", place).agg(F.sum("k").alias("held")).select(claim_key, group, place, (F.col("held") / F.col("n")).alias("coverage"))
+    asked = claims.where(F.size("numbers") > 0).select(claim_key, group, F.size("numbers").alias("n_"), F.explode("numbers").alias("norm")).groupBy(claim_key, group, "n_", "norm").agg(F.count("*").alias("times_"))
+    return asked.join(places, [group, "norm"]).groupBy(claim_key, group, "n_", place).agg(F.sum("times_").alias("held_")).select(claim_key, group, place, (F.col("held_") / F.col("n_")).alias("coverage"))
 
 
 def link_claims(claims: DataFrame, places: DataFrame, claim_key: str, group: str, place: str) -> DataFrame:
