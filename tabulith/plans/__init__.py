@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scoring", "evidence", "review", "building")
+_MODULES = ("scoring", "evidence", "review", "building", "streams")
 
 
 def _merged(name: str) -> dict:
