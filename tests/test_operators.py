@@ -83,7 +83,8 @@ def test_search_ranks(spark, store):
     chunks = I.chunks(sections, studies)
     assert chunks.count() == 5
     q = spark.createDataFrame([(1, "rare 12.5"), (2, "unknownterm"), (3, None)], "q int, t string")
-    hits = I.search(q, "q", "t", chunks, limit=2).collect()
+    for most in (0, 100):
+        hits = I.search(q, "q", "t", chunks, limit=2, most=most).collect()
     assert [(r["query"], r["section_id"], r["chunk_no"], r["place"]) for r in hits] == [(1, 1, 1, 1)]
 
 
