@@ -7,10 +7,13 @@ enough are residue, overlapping windows make spans, and documents are excluded b
 share (`min_coverage`) or number (`min_chars`) of characters in spans.
 
 The residue models start from the training texts of residue_seeds. The prose model is
-fitted on a bounded sample of documents (`FIT_DOCS`, chosen by hash of the key). As the
-sample itself holds residue, fitting repeats: documents with residue found by one round
-leave the prose model of the next, and their spans join the residue models. The fitted
-tables have a fixed size, are broadcast, and every document is scored as a whole.
+fitted on a bounded sample of documents (`FIT_DOCS`, chosen by hash of the key). Lines and
+sentences that the table repeats teach it once each, however many rows hold them, so that
+a page held by a third of the rows does not become prose, and documents that hold a whole
+training text word by word do not teach it at all. As the sample itself holds
+residue, fitting repeats: documents with residue found by one round leave the prose model
+of the next, and their spans join the residue models. The fitted tables have a fixed size,
+are broadcast, and every document is scored as a whole.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.codes import CHUNK_CHARS, chunks, code_points
+from tabulith.llm.codes import CHUNK_CHARS, Rolling, chunks, code_points
 from tabulith.llm.residue_seeds import FILLER, NOTICES, SHELLS, slots
 from tabulith.session import table
 
@@ -35,8 +38,6 @@ BITS = 20
 KINDS = ("filler", "notice", "slot")
 #: Window widths in characters, and the sum of log ratios from which a window is residue.
 WINDOWS = ((8, 20.0), (12, 24.0), (24, 30.0), (48, 38.0))
-#: Texts by which a sampled document is labelled as filler beforehand: too short to be told by their windows in a sample that holds them.
-ANCHORS = ("lorem ipsum",)
 #: Mean log ratio of a sentence from which it goes on a filler before it, while models are fitted.
 SPREAD = -0.6
 #: Ratios of a single character are kept within this bound.
@@ -87,6 +88,122 @@ def _grams(symbols: np.ndarray) -> list[np.ndarray]:
     return grams
 
 
+def _units(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and sentences: the length of each with the blanks around it, and its hash without them (0 for blanks alone)."""
+    space, line = _alphabet()[32], _alphabet()[10]
+    blank = (symbols == space) | (symbols == line)
+    stop = np.isin(symbols, _alphabet()[[ord(c) for c in ".!?"]])
+    cut = symbols == line
+    cut[1:] |= blank[1:] & stop[:-1]
+    ends = np.union1d(np.flatnonzero(cut) + 1, starts[1:]).astype(np.int64)
+    ends = ends[ends > 0]
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    inked = np.flatnonzero(~blank)
+    a, b = np.searchsorted(inked, begins), np.searchsorted(inked, ends)
+    hashes = np.zeros(len(ends), dtype=np.uint64)
+    real = np.flatnonzero(b > a)
+    if len(real):
+        first = inked[a[real]]
+        hashes[real] = Rolling(symbols).windows(first, inked[b[real] - 1] + 1 - first)
+    return ends - begins, hashes
+
+
+@dataclass
+class Repeats:
+    """Hashes of repeated lines and sentences in order, and how often each stands in the table."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+
+    def weights(self, symbols: np.ndarray, starts: np.ndarray, share: float = 1.0) -> np.ndarray:
+        """Weight of each character by which all copies of its line or sentence together count once; share is that of the rows at hand."""
+        sizes, hashes = _units(symbols, starts)
+        weight = np.ones(len(sizes))
+        if len(self.hashes) and len(sizes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            same = np.flatnonzero((self.hashes[at] == hashes) & (hashes != 0))
+            weight[same] = 1 / np.maximum(1, self.counts[at[same]] * share)
+        return np.repeat(weight, sizes)
+
+
+#: Symbols that a training text has at least to be looked up in documents as it stands; it has two words too.
+QUOTED = 8
+
+
+@lru_cache(maxsize=1)
+def _quotes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training texts of two words and more: hashes of their beginnings in order, their lengths and hashes."""
+    found = set()
+    for text in (*FILLER, *NOTICES, *SHELLS):
+        symbols = _symbols(code_points([text.strip(" .:")])[0])
+        if len(symbols) >= QUOTED and len(_words(text)) > 1:
+            rolling = Rolling(symbols)
+            found.add((int(rolling.every(QUOTED)[0]), len(symbols), int(rolling.every(len(symbols))[0])))
+    heads, sizes, hashes = zip(*sorted(found), strict=True)
+    return np.array(heads, dtype=np.uint64), np.array(sizes, dtype=np.int64), np.array(hashes, dtype=np.uint64)
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in text.split() if sum(ch.isalpha() for ch in w) > 1]
+
+
+def _quoting(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each text holds a whole training text, between other characters than letters and digits."""
+    out = np.zeros(len(starts) - 1, dtype=bool)
+    heads, sizes, hashes = _quotes()
+    rolling = Rolling(symbols)
+    every = rolling.every(QUOTED)
+    left = np.minimum(np.searchsorted(heads, every), len(heads) - 1)
+    at = np.flatnonzero(heads[left] == every)
+    k = left[at]
+    inner = np.concatenate([[False], ((symbols > 0) & (symbols < 28)) | (symbols == 62), [False]])
+    edge = np.zeros(len(inner), dtype=bool)
+    edge[starts] = True
+    while len(at):
+        fits = at + sizes[k] <= len(symbols)
+        a, e = at[fits], at[fits] + sizes[k[fits]]
+        text = np.searchsorted(starts, a, side="right") - 1
+        good = (rolling.windows(a, e - a) == hashes[k[fits]]) & (e <= starts[text + 1])
+        good &= (~inner[a] | edge[a]) & (~inner[e + 1] | edge[e])
+        out[text[good]] = True
+        more = k + 1 < len(heads)
+        more[more] = heads[k[more] + 1] == heads[k[more]]
+        at, k = at[more], k[more] + 1
+    return out
+
+
+def _least(rows: int) -> float:
+    """Copies from which a line or sentence is repeated; fewer are unknown to the prose model in any case."""
+    return max(2.0, DISCOUNT * rows)
+
+
+def _repeats(texts: list[str]) -> Repeats:
+    codes, starts = code_points(texts)
+    hashes, counts = np.unique(_units(_symbols(codes), starts)[1], return_counts=True)
+    kept = (counts >= _least(len(texts))) & (hashes != 0)
+    return Repeats(hashes[kept], counts[kept])
+
+
+def repeats(docs: DataFrame, text: str, rows: int) -> Repeats:
+    """The repeated lines and sentences of a whole table of that many rows.
+
+    Their number is bounded by the lines a row has on average, divided by DISCOUNT.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for _, _, texts in chunks(batch, "text", CHUNK_CHARS):
+                codes, starts = code_points(texts)
+                hashes, counts = np.unique(_units(_symbols(codes), starts)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["unit", "n"])
+
+    units = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "unit bigint, n bigint").where("unit != 0")
+    found = units.groupBy("unit").agg(F.sum("n").alias("n")).where(F.col("n") >= _least(rows)).toArrow()
+    hashes = found.column("unit").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Repeats(hashes[order], found.column("n").to_numpy()[order])
+
+
 @dataclass
 class Model:
     """Log ratios by n-gram bucket: of all residue against prose, and of each kind against prose."""
@@ -142,10 +259,10 @@ class _Interpolated:
         return np.log(probs[known])
 
 
-def _fit(symbols: np.ndarray, prose: np.ndarray, kinds: list[np.ndarray], kind_weights: list[np.ndarray], discount: float) -> Model:
+def _fit(symbols: np.ndarray, prose: np.ndarray, prose_weight: np.ndarray, kinds: list[np.ndarray], kind_weights: list[np.ndarray], discount: float) -> Model:
     """prose, kinds: places whose characters train a model."""
     grams = _grams(symbols)
-    base = _Interpolated(prose, None, discount)
+    base = _Interpolated(prose, prose_weight, discount)
     residue = _Interpolated(np.concatenate(kinds), np.concatenate(kind_weights))
     each = [_Interpolated(k, w) for k, w in zip(kinds, kind_weights, strict=True)]
     ratio, by_kind = [], []
@@ -203,8 +320,12 @@ def _marked(scores: np.ndarray, starts: np.ndarray, windows: tuple = WINDOWS) ->
     return out
 
 
-def fit(texts: list[str]) -> Model:
-    """Models from the training texts and a sample of documents; see the module's text."""
+def fit(texts: list[str], repeated: Repeats | None = None, share: float = 1.0) -> Model:
+    """Models from the training texts and a sample of documents, this share of their table; see the module's text.
+
+    repeated is counted over the whole table; without it, over texts.
+    """
+    repeated = _repeats(texts) if repeated is None else repeated
     glue = "\n" * ORDER
     seeds = [glue + glue.join(part) + glue for part in (FILLER, NOTICES, [*SHELLS, *slots()])]
     codes, starts = code_points([*seeds, *(glue + t for t in texts)])
@@ -215,19 +336,20 @@ def fit(texts: list[str]) -> Model:
     seed_places = [np.arange(starts[k] + ORDER, starts[k + 1]) for k in range(len(seeds))]
     #: Each kind's training texts weigh as much as this many characters.
     weights = [np.full(len(p), max(1.0, 20_000 / max(1, len(p)))) for p in seed_places]
-    # documents with a text that stands for filler by itself never teach the prose model
-    anchored = np.array([any(a in t.lower() for a in ANCHORS) for t in texts], dtype=bool)
-    prose = first + np.flatnonzero(~anchored[doc_of])
+    once = np.concatenate([np.ones(first), repeated.weights(symbols[first:], docs - first, share)])
+    discount = DISCOUNT * len(texts) * (once[first:].mean() if len(doc_of) else 1)
+    quoting = _quoting(symbols[first:], docs - first)
+    prose = first + np.flatnonzero(~quoting[doc_of])
     found = [np.zeros(0, dtype=np.int64)] * len(seeds)
     model = None
     for turn in range(ROUNDS):
         places = [np.concatenate([s, f]) for s, f in zip(seed_places, found, strict=True)]
-        model = _fit(symbols, prose if len(prose) else seed_places[0][:0], places, [np.concatenate([w, np.ones(len(f))]) for w, f in zip(weights, found, strict=True)], DISCOUNT * len(texts))
+        model = _fit(symbols, prose, once[prose], places, [np.concatenate([w, np.ones(len(f))]) for w, f in zip(weights, found, strict=True)], discount)
         if turn == ROUNDS - 1 or not len(doc_of):
             break
         scores, grams = model.score(symbols)
         marked = _marked(scores[first:], docs[1:] - first, FIRST if turn == 0 else WINDOWS)
-        bad = anchored.copy()
+        bad = quoting.copy()
         bad[doc_of[marked]] = True
         prose = first + np.flatnonzero(~bad[doc_of])
         at = first + np.flatnonzero(marked)
@@ -269,9 +391,8 @@ def _following(symbols: np.ndarray, scores: np.ndarray, filler: np.ndarray, docs
 FIRST = ((32, -1.0), (48, -2.0))
 
 
-def sample(docs: DataFrame, key: str, text: str, limit: int = FIT_DOCS) -> list[str]:
-    """Texts of about `limit` documents, at most twice as many, by hash of the key."""
-    rows = docs.where(F.length(text) > 0).count()
+def sample(docs: DataFrame, key: str, text: str, rows: int, limit: int = FIT_DOCS) -> list[str]:
+    """Texts of about `limit` of the rows, at most twice as many, by hash of the key."""
     share = min(1.0, limit / max(1, rows))
     bound = int(share * (1 << 30))
     chosen = docs.where((F.length(text) > 0) & (F.pmod(F.xxhash64(key, F.lit("residue fit")), F.lit(1 << 30)) < bound))
@@ -288,7 +409,9 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     """
     spark = docs.sparkSession
     if model is None:
-        model = fit(sample(docs, key, text))
+        rows = docs.where(F.length(text) > 0).count()
+        texts = sample(docs, key, text, rows)
+        model = fit(texts, repeats(docs, text, rows), len(texts) / max(1, rows))
     shared = spark.sparkContext.broadcast(model)
     key_type = docs.schema[key].dataType
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

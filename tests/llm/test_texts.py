@@ -68,6 +68,25 @@ def test_residue_held_out_accuracy():
     assert right >= 90
 
 
+PAGES = ["JavaScript is turned off. Please enable JavaScript in your browser to view this page.", "Error 404: the page you asked for was not found on this server.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."]
+
+
+def prose_texts(n, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    words = "patients received treatment during weeks with placebo response rate score baseline analysis group mean outcome safety site".split()
+    return [" ".join(" ".join(rng.choice(words) for _ in range(12)).capitalize() + "." for _ in range(6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_residue_of_one_wording_in_many_rows(spark, page):
+    """Copies that a third of the rows hold, alone and inside real texts, are no prose."""
+    data = [(i, page if i % 3 == 0 else f"{t} {page}" if i % 30 == 1 else t) for i, t in enumerate(prose_texts(600))]
+    found = residue.excluded(residue.find_residue(spark.createDataFrame(data, "doc_id bigint, text string")))
+    assert {r["doc_id"] for r in found.collect()} == {i for i, _ in data if i % 3 == 0 or i % 30 == 1}
+
+
 ORIGINAL = "In knee pain, drug A may have improved the mean score by 12.5 points compared with 3.1 points on placebo (p = 0.041)."
 CASES = [
     ("In knee pain, drug A improved the mean score by 12.5 points compared with 3.1 points on placebo (p = 0.041).", None),
