@@ -7,10 +7,12 @@ enough are residue, overlapping windows make spans, and documents are excluded b
 share (`min_coverage`) or number (`min_chars`) of characters in spans.
 
 The residue models start from the training texts of residue_seeds. The prose model is
-fitted on a bounded sample of documents (`FIT_DOCS`, chosen by hash of the key). Lines and
+fitted on all documents: their n-grams are counted by bucket on the tasks, and only tables
+of a fixed size meet. Counts are taken for each `FIT_DOCS` documents, so that equal shares
+give equal models, whatever the size of the table. Lines and
 sentences that the table repeats teach it once each, however many rows hold them, so that
 a page held by a third of the rows does not become prose, and documents that hold a whole
-training text word by word do not teach it at all. As the sample itself holds
+training text word by word do not teach it at all. As the documents themselves hold
 residue, fitting repeats: documents with residue found by one round leave the prose model
 of the next, and their spans join the residue models. The fitted tables have a fixed size,
 are broadcast, and every document is scored as a whole.
@@ -18,6 +20,7 @@ are broadcast, and every document is scored as a whole.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,9 +33,11 @@ from tabulith.llm.codes import CHUNK_CHARS, Rolling, chunks, code_points
 from tabulith.llm.residue_seeds import FILLER, NOTICES, SHELLS, slots
 from tabulith.session import table
 
-#: Documents that the models are fitted on, at most.
+#: Documents that counts are reduced to; smaller tables count as they are.
 FIT_DOCS = 2000
 ROUNDS = 4
+#: Characters that are counted at a time.
+FIT_CHARS = 1_000_000
 ORDER = 5
 BITS = 20
 KINDS = ("filler", "notice", "slot")
@@ -47,7 +52,7 @@ CLIP = 7.0
 MIN_CHARS = {"slot": 4, "filler": 8, "notice": 13}
 #: Strength of the back-off to the next shorter context.
 BACKOFF = 1.5
-#: What less than about this share of the sampled documents hold is unknown to the prose model.
+#: What less than about this share of the documents hold is unknown to the prose model.
 DISCOUNT = 0.001
 _MISS = np.float16(np.inf)
 
@@ -77,15 +82,25 @@ def _symbols(codes: np.ndarray) -> np.ndarray:
     return _alphabet()[np.minimum(codes, 65536)]
 
 
-def _grams(symbols: np.ndarray) -> list[np.ndarray]:
-    """Bucket of the n-gram that ends at each character, for n from 1 to ORDER."""
-    shift, grams, gram = np.uint32(32 - BITS), [symbols], symbols
+def _packed(symbols: np.ndarray) -> list[np.ndarray]:
+    """The n-gram that ends at each character as one number, for n from 1 to ORDER; the last character is lowest."""
+    out, gram = [symbols], symbols
     for n in range(1, ORDER):
         back = np.zeros_like(symbols)
         back[n:] = symbols[:-n]
         gram = gram | (back << np.uint32(6 * n))
-        grams.append((gram * np.uint32(2654435761)) >> shift)
-    return grams
+        out.append(gram)
+    return out
+
+
+def _bucket(packed: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of n-grams of n + 1 characters."""
+    return packed if n == 0 else (packed * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+
+
+def _grams(symbols: np.ndarray) -> list[np.ndarray]:
+    """Bucket of the n-gram that ends at each character, for n from 1 to ORDER."""
+    return [_bucket(p, n) for n, p in enumerate(_packed(symbols))]
 
 
 def _units(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +130,14 @@ class Repeats:
     hashes: np.ndarray
     counts: np.ndarray
 
-    def weights(self, symbols: np.ndarray, starts: np.ndarray, share: float = 1.0) -> np.ndarray:
-        """Weight of each character by which all copies of its line or sentence together count once; share is that of the rows at hand."""
+    def weights(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Weight of each character by which all copies of its line or sentence together count once."""
         sizes, hashes = _units(symbols, starts)
         weight = np.ones(len(sizes))
         if len(self.hashes) and len(sizes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             same = np.flatnonzero((self.hashes[at] == hashes) & (hashes != 0))
-            weight[same] = 1 / np.maximum(1, self.counts[at[same]] * share)
+            weight[same] = 1 / self.counts[at[same]]
         return np.repeat(weight, sizes)
 
 
@@ -236,51 +251,133 @@ class _Interpolated:
     """Probabilities of the last character of n-grams given those before it, one order after the other.
 
     discount is taken off each count of two characters and more, so that what only a few
-    documents of a sample hold stays unknown to the model.
+    documents hold stays unknown to the model.
     """
 
-    def __init__(self, where: np.ndarray, weight: np.ndarray | None, discount: float = 0.0):
-        self.where, self.weight, self.discount = where, weight, discount
+    def __init__(self, discount: float = 0.0):
+        self.discount = discount
         self.counts: np.ndarray | None = None
         self.probs: np.ndarray | None = None
 
-    def extend(self, grams: np.ndarray, shorter: np.ndarray | None, known: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Log probabilities of the known buckets of the next order; last is a place where each ends."""
-        size = 64 if shorter is None else 1 << BITS
-        counts = np.bincount(grams[self.where], weights=self.weight, minlength=size).astype(np.float32)
+    def extend(self, counts: np.ndarray, known: np.ndarray, shorter: np.ndarray | None, context: np.ndarray | None) -> np.ndarray:
+        """Log probabilities of the known buckets of the next order; shorter, context: the buckets of each without its first and its last character."""
+        counts = counts.astype(np.float32)
         if shorter is None:
             probs = (counts + np.float32(0.1)) / np.float32(counts.sum() + 6.4)
         else:
             counts = np.maximum(counts - np.float32(self.discount), 0)
-            probs = np.zeros(size, dtype=np.float32)
-            context = self.counts[shorter[last - 1]]
-            probs[known] = (counts[known] + np.float32(BACKOFF) * self.probs[shorter[last]]) / (context + np.float32(BACKOFF))
+            probs = np.zeros(len(counts), dtype=np.float32)
+            probs[known] = (counts[known] + np.float32(BACKOFF) * self.probs[shorter]) / (self.counts[context] + np.float32(BACKOFF))
         self.counts, self.probs = counts, probs
         return np.log(probs[known])
 
 
-def _fit(symbols: np.ndarray, prose: np.ndarray, prose_weight: np.ndarray, kinds: list[np.ndarray], kind_weights: list[np.ndarray], discount: float) -> Model:
-    """prose, kinds: places whose characters train a model."""
-    grams = _grams(symbols)
-    base = _Interpolated(prose, prose_weight, discount)
-    residue = _Interpolated(np.concatenate(kinds), np.concatenate(kind_weights))
-    each = [_Interpolated(k, w) for k, w in zip(kinds, kind_weights, strict=True)]
+#: Weights are counted in whole parts of this size, so that sums do not depend on their order.
+PART = 1 << 20
+
+
+class Tally:
+    """Counts of n-grams by bucket, of fixed size.
+
+    tables[n] holds the weight in prose, the number in found residue of each kind, and the
+    greatest n-gram seen (plus 1; 0 for none), which stands for its bucket.
+    """
+
+    def __init__(self):
+        self.tables = [[np.zeros(64 if n == 0 else 1 << BITS, dtype=np.int64) for _ in range(len(KINDS) + 2)] for n in range(ORDER)]
+        #: Characters, and their weight.
+        self.total = np.zeros(2, dtype=np.int64)
+
+    def add(self, symbols: np.ndarray, weight: np.ndarray, prose: np.ndarray, found: list[np.ndarray]) -> None:
+        """weight: of each character; prose: whether it is prose; found: places of residue by kind."""
+        parts = np.maximum(1, np.rint(weight * PART))
+        self.total += (len(symbols), int(parts.sum()))
+        parts *= prose
+        used = prose.copy()
+        for at in found:
+            used[at] = True
+        used = slice(None) if used.all() else np.flatnonzero(used)
+        for n, packed in enumerate(_packed(symbols)):
+            buckets, table = _bucket(packed, n), self.tables[n]
+            table[0] += np.bincount(buckets, weights=parts, minlength=len(table[0])).astype(np.int64)
+            for k, at in enumerate(found):
+                np.add.at(table[1 + k], buckets[at], 1)
+            self.note(n, packed[used], buckets[used])
+
+    def note(self, n: int, packed: np.ndarray, buckets: np.ndarray) -> None:
+        most, gram = self.tables[n][-1], packed.astype(np.int64) + 1
+        new = np.flatnonzero(most[buckets] < gram)
+        np.maximum.at(most, buckets[new], gram[new])
+
+    def slices(self):
+        """(slot, packed counts) of what is not 0; slots number the slices of all tables."""
+        for n, table in enumerate(self.tables):
+            for c, counts in enumerate(table):
+                for i, part in enumerate(np.split(counts, 1 if n == 0 else SLICES)):
+                    if part.any():
+                        yield (n * len(table) + c) * SLICES + i, zlib.compress(part.tobytes(), 1)
+        yield -1, zlib.compress(self.total.tobytes(), 1)
+
+    def merge(self, slot: int, data: bytes) -> None:
+        part = np.frombuffer(zlib.decompress(data), dtype=np.int64)
+        if slot < 0:
+            self.total += part
+            return
+        (n, c), i = divmod(slot // SLICES, len(KINDS) + 2), slot % SLICES
+        at = self.tables[n][c][i * len(part) : (i + 1) * len(part)]
+        _join(at, part, slot)
+
+
+#: Slices of a table, which are added up apart from each other.
+SLICES = 16
+
+
+def _join(into: np.ndarray, part: np.ndarray, slot: int) -> None:
+    """Adds counts up; of n-grams the greatest stays."""
+    if slot >= 0 and slot // SLICES % (len(KINDS) + 2) == len(KINDS) + 1:
+        np.maximum(into, part, out=into)
+    else:
+        into += part
+
+
+@lru_cache(maxsize=1)
+def _seeds() -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Of each kind the symbols of its training texts, the places that count, and their weight: each kind weighs as much as 20,000 characters."""
+    glue = "\n" * ORDER
+    out = []
+    for part in (FILLER, NOTICES, [*SHELLS, *slots()]):
+        symbols = _symbols(code_points([glue + glue.join(part) + glue])[0])
+        out.append((symbols, np.arange(ORDER, len(symbols)), max(1.0, 20_000 / max(1, len(symbols) - ORDER))))
+    return out
+
+
+def _fit(tally: Tally, rows: int) -> Model:
+    """Models from the training texts and the counts of that many documents."""
+    docs = rows * (tally.total[1] / PART / tally.total[0] if tally.total[0] else 1.0)
+    scale = min(1.0, FIT_DOCS / max(1.0, docs))
+    base = _Interpolated(DISCOUNT * docs * scale)
+    residue, each = _Interpolated(), [_Interpolated() for _ in KINDS]
     ratio, by_kind = [], []
-    for n in range(ORDER):
-        size = 64 if n == 0 else 1 << BITS
-        rep = np.full(size, -1, dtype=np.int32)
-        for places in (prose, *kinds):
-            places = places[places > n]
-            rep[grams[n][places]] = places
-        known = np.arange(64) if n == 0 else np.flatnonzero(rep >= 0)
-        last = rep[known]
-        shorter = grams[n - 1] if n else None
-        plain = base.extend(grams[n], shorter, known, last)
-        r = np.full(size, _MISS, dtype=np.float16)
-        r[known] = np.clip(residue.extend(grams[n], shorter, known, last) - plain, -CLIP, CLIP)
-        b = np.full((size, len(kinds)), _MISS, dtype=np.float16)
+    for n, table in enumerate(tally.tables):
+        prose = table[0] * (scale / PART)
+        kinds = [t * scale for t in table[1:-1]]
+        for k, (symbols, at, weight) in enumerate(_seeds()):
+            packed = _packed(symbols)[n][at]
+            buckets = _bucket(packed, n)
+            kinds[k] += np.bincount(buckets, minlength=len(prose)) * weight
+            tally.note(n, packed, buckets)
+        every = sum(kinds)
+        known = np.arange(64) if n == 0 else np.flatnonzero((prose > 0) | (every > 0))
+        shorter = context = None
+        if n:
+            gram = (table[-1][known] - 1).astype(np.uint32)
+            shorter, context = _bucket(gram & np.uint32((1 << 6 * n) - 1), n - 1), _bucket(gram >> np.uint32(6), n - 1)
+        plain = base.extend(prose, known, shorter, context)
+        r = np.full(len(prose), _MISS, dtype=np.float16)
+        r[known] = np.clip(residue.extend(every, known, shorter, context) - plain, -CLIP, CLIP)
+        b = np.full((len(prose), len(KINDS)), _MISS, dtype=np.float16)
         for k, model in enumerate(each):
-            b[known, k] = np.clip(model.extend(grams[n], shorter, known, last) - plain, -CLIP, CLIP)
+            b[known, k] = np.clip(model.extend(kinds[k], known, shorter, context) - plain, -CLIP, CLIP)
         ratio.append(r)
         by_kind.append(b)
     return Model(ratio, by_kind)
@@ -320,47 +417,99 @@ def _marked(scores: np.ndarray, starts: np.ndarray, windows: tuple = WINDOWS) ->
     return out
 
 
-def fit(texts: list[str], repeated: Repeats | None = None, share: float = 1.0) -> Model:
-    """Models from the training texts and a sample of documents, this share of their table; see the module's text.
-
-    repeated is counted over the whole table; without it, over texts.
-    """
-    repeated = _repeats(texts) if repeated is None else repeated
-    glue = "\n" * ORDER
-    seeds = [glue + glue.join(part) + glue for part in (FILLER, NOTICES, [*SHELLS, *slots()])]
-    codes, starts = code_points([*seeds, *(glue + t for t in texts)])
+def _count(tally: Tally, texts: list[str], repeated: Repeats, model: Model | None, turn: int) -> None:
+    """Adds the texts to the tally of a round: as prose, or what the model of the round before finds in them as residue."""
+    codes, starts = code_points(["\n" * ORDER + t for t in texts])
     symbols = _symbols(codes)
-    docs = starts[len(seeds) :]
-    doc_of = np.repeat(np.arange(len(docs) - 1, dtype=np.int32), np.diff(docs)) if len(docs) > 1 else np.zeros(0, dtype=np.int32)
-    first = int(docs[0])
-    seed_places = [np.arange(starts[k] + ORDER, starts[k + 1]) for k in range(len(seeds))]
-    #: Each kind's training texts weigh as much as this many characters.
-    weights = [np.full(len(p), max(1.0, 20_000 / max(1, len(p)))) for p in seed_places]
-    once = np.concatenate([np.ones(first), repeated.weights(symbols[first:], docs - first, share)])
-    discount = DISCOUNT * len(texts) * (once[first:].mean() if len(doc_of) else 1)
-    quoting = _quoting(symbols[first:], docs - first)
-    prose = first + np.flatnonzero(~quoting[doc_of])
-    found = [np.zeros(0, dtype=np.int64)] * len(seeds)
-    model = None
-    for turn in range(ROUNDS):
-        places = [np.concatenate([s, f]) for s, f in zip(seed_places, found, strict=True)]
-        model = _fit(symbols, prose, once[prose], places, [np.concatenate([w, np.ones(len(f))]) for w, f in zip(weights, found, strict=True)], discount)
-        if turn == ROUNDS - 1 or not len(doc_of):
-            break
+    doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
+    bad = _quoting(symbols, starts)
+    found = [np.zeros(0, dtype=np.int64)] * len(KINDS)
+    if model is not None:
         scores, grams = model.score(symbols)
-        marked = _marked(scores[first:], docs[1:] - first, FIRST if turn == 0 else WINDOWS)
-        bad = quoting.copy()
-        bad[doc_of[marked]] = True
-        prose = first + np.flatnonzero(~bad[doc_of])
-        at = first + np.flatnonzero(marked)
-        best = model.by_kind(grams, at)
-        spans = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        # no window runs over the lines between texts, so a text's neighbours do not matter
+        scores[(starts[:-1, None] + np.arange(ORDER)).ravel()] = -1000
+        at = np.flatnonzero(_marked(scores, starts[1:], FIRST if turn == 1 else WINDOWS))
+        bad[doc_of[at]] = True
         if len(at):
-            sums = np.add.reduceat(best, spans, axis=0)
+            # spans end with their text
+            spans = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc_of[at], prepend=-1) > 0))
+            sums = np.add.reduceat(model.by_kind(grams, at), spans, axis=0)
             kind = np.repeat(sums.argmax(axis=1), np.diff(np.append(spans, len(at))))
-            found = [at[kind == k] for k in range(len(seeds))]
-            if turn:
-                found[0] = np.union1d(found[0], _following(symbols, scores, found[0], docs))
+            found = [at[kind == k] for k in range(len(KINDS))]
+            if turn > 1:
+                found[0] = np.union1d(found[0], _following(symbols, scores, found[0], starts))
+    # of the lines before a text the last alone counts, as n-grams of the others reach into the text before
+    prose = ~bad[doc_of]
+    prose[(starts[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
+    tally.add(symbols, repeated.weights(symbols, starts), prose, found)
+
+
+def _rounds(counted, rows: int) -> Model:
+    """The model of the last round; counted gives the tally of a round by the model before it."""
+    model = None
+    for turn in range(ROUNDS):
+        model = _fit(counted(model, turn), rows)
+    return model
+
+
+def _parts(texts: list[str]):
+    for _, _, part in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), "text", FIT_CHARS):
+        if part := [t for t in part if t]:
+            yield part
+
+
+def fit(texts: list[str]) -> Model:
+    """Models from the training texts and these documents; see the module's text."""
+    repeated = _repeats(texts)
+
+    def counted(model: Model | None, turn: int) -> Tally:
+        tally = Tally()
+        for part in _parts(texts):
+            _count(tally, part, repeated, model, turn)
+        return tally
+
+    return _rounds(counted, len(texts))
+
+
+def fit_table(docs: DataFrame, text: str) -> Model:
+    """The same from all documents of a table; each round reads it once, on at most two tasks a core."""
+    context = docs.sparkSession.sparkContext
+    rows = docs.where(F.length(text) > 0).count()
+    source = docs.select(F.col(text).cast("string").alias("text")).where(F.length("text") > 0).coalesce(2 * context.defaultParallelism)
+    repeated = context.broadcast(repeats(docs, text, rows))
+
+    def counted(model: Model | None, turn: int) -> Tally:
+        before = context.broadcast(model)
+
+        def count(batches):
+            tally = Tally()
+            for batch in batches:
+                for _, _, texts in chunks(batch, "text", FIT_CHARS):
+                    _count(tally, texts, repeated.value, before.value, turn)
+            for slot, data in tally.slices():
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([data], pa.binary())], names=["slot", "data"])
+
+        def add(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    part = np.frombuffer(zlib.decompress(data.as_py()), dtype=np.int64)
+                    if slot in sums:
+                        _join(sums[slot], part, slot)
+                    else:
+                        sums[slot] = part.copy()
+            for slot, part in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["slot", "data"])
+
+        form = "slot int, data binary"
+        out = Tally()
+        for slot, data in source.mapInArrow(count, form).repartition("slot").mapInArrow(add, form).collect():
+            out.merge(slot, bytes(data))
+        before.destroy()
+        return out
+
+    model = _rounds(counted, rows)
+    repeated.destroy()
     return model
 
 
@@ -387,18 +536,10 @@ def _following(symbols: np.ndarray, scores: np.ndarray, filler: np.ndarray, docs
     return np.concatenate(out) if out else filler[:0]
 
 
-#: In the first round the prose model still knows the residue of the sample, so ratios are near 0 where both models know a text.
+#: In the first round the prose model still knows residue, so ratios are near 0 where both models know a text.
 FIRST = ((32, -1.0), (48, -2.0))
 
 
-def sample(docs: DataFrame, key: str, text: str, rows: int, limit: int = FIT_DOCS) -> list[str]:
-    """Texts of about `limit` of the rows, at most twice as many, by hash of the key."""
-    share = min(1.0, limit / max(1, rows))
-    bound = int(share * (1 << 30))
-    chosen = docs.where((F.length(text) > 0) & (F.pmod(F.xxhash64(key, F.lit("residue fit")), F.lit(1 << 30)) < bound))
-    return [r[0] for r in chosen.select(text).limit(2 * limit).collect()]
-
-
 def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """Residue of each document: (key, n_chars, residue_chars, coverage, kind, first_start, first_text).
 
@@ -409,9 +550,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     """
     spark = docs.sparkSession
     if model is None:
-        rows = docs.where(F.length(text) > 0).count()
-        texts = sample(docs, key, text, rows)
-        model = fit(texts, repeats(docs, text, rows), len(texts) / max(1, rows))
+        model = fit_table(docs, text)
     shared = spark.sparkContext.broadcast(model)
     key_type = docs.schema[key].dataType
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

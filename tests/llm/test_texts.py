@@ -87,6 +87,15 @@ def test_residue_of_one_wording_in_many_rows(spark, page):
     assert {r["doc_id"] for r in found.collect()} == {i for i, _ in data if i % 3 == 0 or i % 30 == 1}
 
 
+def test_residue_models_count_every_document(spark):
+    """The models of a table in parts are those of all its documents, also beyond FIT_DOCS; rare residue reaches them."""
+    texts = [t + " Zwrqk vbnxz: enable JavaScript to view this page." if i == 2900 else t for i, t in enumerate(prose_texts(3000))]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "doc_id bigint, text string").repartition(5)
+    model, whole, without = residue.fit_table(docs, "text"), residue.fit(texts), residue.fit(texts[:2900])
+    assert all((a == b).all() for a, b in zip(model.ratio + model.kinds, whole.ratio + whole.kinds, strict=True))
+    assert any((a != b).any() for a, b in zip(model.ratio, without.ratio, strict=True))
+
+
 ORIGINAL = "In knee pain, drug A may have improved the mean score by 12.5 points compared with 3.1 points on placebo (p = 0.041)."
 CASES = [
     ("In knee pain, drug A improved the mean score by 12.5 points compared with 3.1 points on placebo (p = 0.041).", None),
