@@ -10,6 +10,7 @@ QUERIES = {
     "p2_found": spans.p2_found,
     "p2_shared": spans.p2_shared,
     "p3_found": lookalikes.p3_found,
+    "p3_classes": lookalikes.p3_classes,
     "p3_normalised": lookalikes.p3_normalised,
     "p4_percentiles": percentiles.p4_percentiles,
     "p4_sketch": percentiles.p4_sketch,
