@@ -1,7 +1,7 @@
 """Long exact spans shared between records (problem 2).
 
 Method: level-wise doubling. Windows repeated at one length alone are extended to twice
-that length, until the asked length is reached or no candidates survive.
+that length, until no candidates survive.
 
 Equal texts are first made one, with the number of records that hold them. On the first
 level, each stretch of `min_chars` characters of a text is represented by the window of
@@ -10,8 +10,12 @@ representative and only a small part of all windows is compared. On the second l
 surviving windows are extended to min_chars / 2, to the side on which the stretch lies. On
 the third level the surviving candidates bring the text around them and all their windows
 of min_chars characters are compared. Whatever survives is a shared span; overlapping
-windows are merged into spans, and windows that many texts hold are compared by counting
-windows, not texts, on all tasks.
+windows are merged, and windows that many texts hold are compared by counting windows, not
+texts, on all tasks. Each text is hashed once for these levels; the later ones slice it.
+
+Then the length doubles on, among the texts whose shared stretches are long enough, until
+no window of two different texts agrees. The last length at which one does is a span that
+one other record holds whole; touching spans shared with different records do not count as one.
 """
 
 from __future__ import annotations
@@ -74,51 +78,38 @@ def _parts(anchor: np.ndarray, first: np.ndarray, last: np.ndarray, span: int) -
 
 
 def _windows(texts: DataFrame, span: int) -> DataFrame:
-    """Candidates of the first two levels: (tid, quarter, half), hashes of a quarter and of half the length."""
+    """Candidates: (tid, quarter, half, start, stop), hashes of a quarter and of half the length, and the text's part that holds all their stretches."""
 
     def scan(batches):
         for batch in batches:
             tids = batch.column(0)
             for lo, _hi, part in chunks(batch, "text"):
-                text, anchor, first, last, rolling, _ = _anchors(part, span)
+                text, anchor, first, last, rolling, starts = _anchors(part, span)
                 if not len(text):
                     continue
-                index, begin, _, _ = _parts(anchor, first, last, span)
+                index, begin, first, last = _parts(anchor, first, last, span)
                 quarter = rolling.windows(anchor, span // 4)[index].view(np.int64)
                 half = rolling.windows(begin, span // 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([tids.take(pa.array(lo + text[index])), pa.array(quarter), pa.array(half)], names=["tid", "quarter", "half"])
+                base = starts[text[index]]
+                yield pa.RecordBatch.from_arrays([tids.take(pa.array(lo + text[index])), pa.array(quarter), pa.array(half), pa.array((first - base).astype(np.int32)), pa.array((last + span - base).astype(np.int32))], names=["tid", "quarter", "half", "start", "stop"])
 
-    return texts.mapInArrow(scan, "tid bigint, quarter bigint, half bigint")
+    return texts.mapInArrow(scan, "tid bigint, quarter bigint, half bigint, start int, stop int")
 
 
-def _stretches(texts: DataFrame, span: int) -> DataFrame:
-    """Candidates with the text that holds all their stretches: (tid, half, start, piece), for the half hashes in `halves`."""
+def _pieces(texts: DataFrame) -> DataFrame:
+    """The parts of texts with a list `parts` of (half, is_hot, start, stop): (tid, half, is_hot, start, piece)."""
 
     def scan(batches):
         for batch in batches:
-            tids, wanted = batch.column(0), batch.column(2)
-            for lo, hi, part in chunks(batch, "text"):
-                text, anchor, first, last, rolling, starts = _anchors(part, span)
-                if not len(text):
-                    continue
-                index, begin, first, last = _parts(anchor, first, last, span)
-                half = rolling.windows(begin, span // 2).view(np.int64)
-                kept = wanted.slice(lo, hi - lo)
-                # a text's hashes are looked up among its own
-                flat = np.asarray(kept.flatten())
-                owner = np.repeat(np.arange(hi - lo), np.asarray(pa.compute.list_value_length(kept)))
-                own = np.unique(_paired(owner, flat))
-                hit = np.flatnonzero(np.isin(_paired(text[index], half), own))
-                begin_in = first[hit] - starts[text[index[hit]]]
-                end_in = last[hit] + span - starts[text[index[hit]]]
-                pieces = [part[t][a:b] for t, a, b in zip(text[index[hit]], begin_in, end_in, strict=True)]
-                yield pa.RecordBatch.from_arrays([tids.take(pa.array(lo + text[index[hit]])), pa.array(half[hit]), pa.array(begin_in, pa.int32()), pa.array(pieces, pa.string())], names=["tid", "half", "start", "piece"])
-
-    return texts.mapInArrow(scan, "tid bigint, half bigint, start int, piece string")
-
+            for tid, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at in range(0, len(parts), 5000):
+                    some = parts[at : at + 5000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([tid] * len(some)), pa.array([p["half"] for p in some]), pa.array([p["is_hot"] for p in some]), pa.array([p["start"] for p in some], pa.int32()), pa.array([text[p["start"] : p["stop"]] for p in some])],
+                        names=["tid", "half", "is_hot", "start", "piece"],
+                    )
 
-def _paired(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
-    return value.astype(np.int64).view(np.uint64) ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return texts.mapInArrow(scan, "tid bigint, half bigint, is_hot boolean, start int, piece string")
 
 
 def _runs(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,47 +206,58 @@ def _twice(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.count("*").alias("held")).where("low < high").select(key, "held")
 
 
-def shared_spans(records: DataFrame, kind: str = "record_kind", key: str = "record_id", text: str = "text", min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """Per record that shares a span of at least min_chars characters: (kind, key, n_chars, shared_chars, shared_share, longest).
-
-    shared_chars counts the characters in spans that another record holds too, longest the
-    longest stretch of them. Records without such a span, and null or shorter texts, give no
-    row. A span repeated only inside one record does not count; a record that comes several
-    times under one (kind, key) is one record if its text is the same. Characters are code
-    points, compared exactly. Other columns of records are not read.
-    """
-    span = max(4, min_chars + (-min_chars) % 4) if min_chars % 4 else min_chars
-    if span != min_chars:
-        raise ValueError("min_chars must be a multiple of 4")
-    rows = records.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.length("text") >= span)
-    rows = rows.select("kind", "key", F.xxhash64("text", F.length("text")).alias("tid"), "text")
-    texts = rows.groupBy("tid").agg(F.first("text").alias("text"), (F.min(F.struct("kind", "key")) != F.max(F.struct("kind", "key"))).alias("copied"))
-    texts = cut(texts)
-    plain = texts.select("tid", "text")
-    # first and second level
-    candidates = _windows(plain, span)
-    candidates = candidates.join(_twice(candidates, "quarter"), "quarter", "left_semi").select("tid", "half")
-    halves = _twice(candidates, "half")
-    mine = candidates.join(halves, "half").groupBy("tid").agg(F.collect_set("half").alias("halves"))
-    # third level: only texts with surviving windows, and of these only the pieces around them
-    pieces = _stretches(plain.join(mine, "tid").select("tid", "text", "halves"), span)
-    pieces = pieces.join(halves.where(F.col("held") > hot).select("half", "held"), "half", "left").select("tid", "half", "start", "piece", F.col("held").isNotNull().alias("is_hot"))
-    pieces = cut(pieces)
+def _level(texts: DataFrame, span: int, hot: int) -> DataFrame:
+    """Windows of `span` characters that two of the texts hold: (tid, start, stop), which may overlap."""
+    candidates = cut(_windows(texts.select("tid", "text").where(F.length("text") >= span), span))
+    mine = candidates.join(_twice(candidates, "quarter").select("quarter"), "quarter", "left_semi").drop("quarter")
+    halves = _twice(mine, "half")
+    parts = mine.join(halves, "half").groupBy("tid").agg(F.collect_list(F.struct("half", (F.col("held") > hot).alias("is_hot"), "start", "stop")).alias("parts"))
+    # only texts with surviving windows, and of these only the pieces around them
+    pieces = cut(_pieces(texts.select("tid", "text").join(parts, "tid")))
     cold = pieces.where("not is_hot").select("tid", "half", "start", "piece").repartition("half").sortWithinPartitions("half")
     found = cold.mapInArrow(_compare(span), "tid bigint, start int, stop int")
     windows = _all_windows(pieces.where("is_hot").select("tid", "half", "start", "piece"), span)
     hot_found = windows.join(_twice(windows, "window"), "window", "left_semi").select("tid", "start", (F.col("start") + span).cast("int").alias("stop"))
-    spans = found.unionByName(hot_found)
-    merged = _merge(spans)
-    whole = texts.select("tid", "copied", F.length("text").cast("bigint").alias("n_chars")).join(merged, "tid", "left")
-    result = whole.select(
-        "tid", "n_chars",
-        F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("shared")).alias("shared_chars"),
-        F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("most")).alias("longest"),
-    ).where("shared_chars > 0")
-    owners = rows.select("kind", "key", "tid")
+    return found.unionByName(hot_found)
+
+
+def shared_spans(records: DataFrame, kind: str = "record_kind", key: str = "record_id", text: str = "text", min_chars: int = MIN_CHARS, hot: int = HOT, lengths: bool = True) -> DataFrame:
+    """Per record that shares a span of at least min_chars characters: (kind, key, n_chars, shared_chars, shared_share, longest).
+
+    shared_chars counts the characters in spans that another record holds too. longest is
+    the greatest of the lengths min_chars, twice, four times ... min_chars at which a span of
+    the record stands whole in one other record, or all of a text that another record equals;
+    null where `lengths` is not asked for. Records without such a span, and null or shorter
+    texts, give no row. A span repeated only inside one record does not count; a record that
+    comes several times under one (kind, key) is one record if its text is the same.
+    Characters are code points, compared exactly. Other columns of records are not read.
+    """
+    if min_chars < 4 or min_chars % 4:
+        raise ValueError("min_chars must be a multiple of 4")
+    rows = records.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.length("text") >= min_chars)
+    rows = rows.select("kind", "key", F.unhex(F.md5("text")).alias("digest"), "text")
+    texts = rows.groupBy("digest").agg(F.first("text").alias("text"), (F.min(F.struct("kind", "key")) != F.max(F.struct("kind", "key"))).alias("copied"))
+    texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))
+    merged = cut(_merge(_level(texts, min_chars, hot)))
+    result = texts.select("tid", "digest", "copied", F.length("text").cast("bigint").alias("n_chars")).join(merged, "tid", "left")
+    result = result.where("copied or shared > 0").withColumn("shared_chars", F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("shared")))
+    if lengths:
+        steps, length, found = [merged.select("tid", F.lit(min_chars).cast("bigint").alias("length"))], min_chars, merged
+        while True:
+            length *= 2
+            left = found.where(F.col("most") >= length).select("tid")
+            if left.isEmpty():
+                break
+            found = cut(_merge(_level(texts.join(left, "tid", "left_semi"), length, hot)))
+            steps.append(found.select("tid", F.lit(length).cast("bigint").alias("length")))
+        every = steps[0]
+        for step in steps[1:]:
+            every = every.unionByName(step)
+        result = result.join(every.groupBy("tid").agg(F.max("length").alias("length")), "tid", "left").withColumn("longest", F.when(F.col("copied"), F.col("n_chars")).otherwise(F.col("length")))
+    else:
+        result = result.withColumn("longest", F.lit(None).cast("bigint"))
     # of several texts under one record the one with most shared characters counts
-    out = owners.join(result, "tid").groupBy("kind", "key").agg(F.max(F.struct("shared_chars", "longest", "n_chars")).alias("r"))
+    out = rows.select("kind", "key", "digest").join(result, "digest").groupBy("kind", "key").agg(F.max(F.struct("shared_chars", "longest", "n_chars")).alias("r"))
     return out.select(F.col("kind").alias(kind), F.col("key").alias(key), "r.n_chars", "r.shared_chars", (F.col("r.shared_chars") / F.col("r.n_chars")).alias("shared_share"), "r.longest")
 
 
@@ -282,7 +284,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans(records(spark, sf_dir)).select("record_kind", "record_id").distinct()
+    return shared_spans(records(spark, sf_dir), lengths=False).select("record_kind", "record_id").distinct()
 
 
 def p2_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
