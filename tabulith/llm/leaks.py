@@ -2,22 +2,26 @@
 
 Method: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-A test item leaks where a document holds at least `run` consecutive words of it. Sets are
-shingles of `shingle` words; MinHash is taken of the shingles of each stretch of `run`
-words, so a signature is the set of those minima. Test items stand in partitions by size,
-each size class with its own least share of a signature that a leak must have in common;
-documents of any length are cut into stretches of the same size, which makes the size
-ratio of the compared sets 1: two equal stretches have equal shingle sets and so, with
-certainty, an equal minimum. The search therefore finds every leak, and a document
-becomes a candidate only by a minimum of some test item. Candidates are verified by exact
-containment of their stretches of `run` words, compared as text.
-
-The test items' minima are broadcast as long as there are at most `broadcast_limit` of
-them (16 bytes each); beyond that, candidates come from a shuffled join on the minima.
+A test item leaks where a document holds at least `run` consecutive words of it, which is
+`run - shingle + 1` shingles. Items are cut into pieces of at most `PIECE` words that
+overlap by `run - 1`, so a leak lies within a piece; pieces stand in partitions of equal
+numbers by size. Documents are cut into windows of two blocks of `run` shingles, so a leak
+lies within a window. In a partition with pieces of at most U shingles a leak is a
+containment of at least (run - shingle + 1) / U, which against windows of a known size is a
+least Jaccard similarity s; the partition's signatures have as many permutations as make
+it as unlikely as `MISS` that none of them agrees, ln(MISS) / ln(1 - s). One agreeing
+minimum makes a window and a piece candidates, and candidates are verified by exact
+containment of stretches of `run` words, compared as text.
+
+With items of more words than `broadcast_words` the items' signatures do not travel to
+every task: pieces and windows then have `run` words both, so that equal stretches have
+equal sets, s is 1 and one permutation is enough; minima meet in a shuffled join. Both ways
+find the same leaks, which the tests compare.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -25,16 +29,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.codes import Rolling, Words, chunks, composed, sliding_min
-from tabulith.session import table
+from tabulith.llm.codes import Rolling, Words, chunks, composed, mix, sliding_min
+from tabulith.session import cut, table
 
 #: Consecutive words that make a leak; words in a shingle.
 RUN = 13
 SHINGLE = 5
-#: Minima of test items that are broadcast, at most (32 MB).
-BROADCAST_LIMIT = 2_000_000
-#: Upper sizes, in shingles, of the partitions of test items.
-SIZES = (16, 32, 64, 128, 256, 1024)
+#: Words of a piece of a test item, at most; partitions of pieces by size.
+PIECE = 40
+PARTITIONS = 4
+#: Probability that a leak of the least length goes unseen.
+MISS = 1e-6
+#: Words of all test items whose signatures are broadcast, at most (about 20 MB with their texts).
+BROADCAST_WORDS = 200_000
+#: Parts into which the documents of one minimum are split when minima are joined.
+SALTS = 16
+
+
+def permutations(upper: int, window: int, run: int = RUN, shingle: int = SHINGLE) -> int:
+    """Number of permutations for pieces of at most `upper` shingles against windows of `window` shingles."""
+    common = run - shingle + 1
+    least = common / max(common, window + upper - common)
+    return 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
+
+
+@lru_cache(maxsize=4)
+def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each permutation what shingles are xored with and multiplied by; the first ones are the same for any count."""
+    at = mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return at[::2], at[1::2] | np.uint64(1)
+
+
+def _blocks(owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places of blocks of `size` consecutive places of one owner, and the owner of each block."""
+    heads = np.flatnonzero(np.diff(owner, prepend=-1) != 0)
+    within = np.arange(len(owner)) - np.repeat(heads, np.diff(np.append(heads, len(owner))))
+    first = np.flatnonzero(within % size == 0)
+    return first, owner[first]
+
+
+def _shingles(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of the texts, and their texts."""
+    words = Words(texts)
+    hashes = Rolling(words.hashes).every(shingle)
+    at = np.arange(len(hashes))
+    text = np.searchsorted(words.starts, at, side="right") - 1
+    whole = at + shingle <= words.starts[np.minimum(text + 1, len(words.starts) - 1)]
+    return hashes[whole], text[whole]
 
 
 def signature(texts: list[str], run: int = RUN, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,21 +138,21 @@ def find_leaks(
     text: str = "text",
     run: int = RUN,
     shingle: int = SHINGLE,
-    broadcast_limit: int = BROADCAST_LIMIT,
+    broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """Leaks as (doc_key, item_key, run_words, containment, estimate).
 
     run_words is the longest run of the item's words in the document, containment the
-    share of the item's stretches that it holds, estimate the share of the item's MinHash
-    signature. Null and empty texts, and items of fewer than `run` words, have no leak.
-    Equal rows give equal leaks; rows with a null key are kept with that key. Other
+    share of the item's stretches that it holds, estimate the greatest share of a
+    signature in common. Null and empty texts, and items of fewer than `run` words, have no
+    leak. Equal rows give equal leaks; rows with a null key are kept with that key. Other
     columns of either table are not read, so their names do not matter.
     """
-    items = items.select(F.col(item_key).alias("item"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
-    docs = docs.select(F.col(doc_key).alias("doc"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
-    # A stretch of `run` words has at least 2 * run - 1 characters, and one begins at no more than every second.
-    bound = items.agg(F.sum(F.greatest(F.floor((F.length("text") + 1) / 2) - run + 1, F.lit(0)))).first()[0] or 0
-    if bound <= broadcast_limit:
+    items = items.select(F.col(item_key).alias("item"), F.col(text).cast("string").alias("text")).where(F.length("text") >= 2 * run - 1)
+    docs = docs.select(F.col(doc_key).alias("doc"), F.col(text).cast("string").alias("text")).where(F.length("text") >= 2 * run - 1)
+    # a text has at most half as many words as characters
+    bound = items.agg(F.sum(F.floor((F.length("text") + 1) / 2))).first()[0] or 0
+    if bound <= broadcast_words:
         leaks = _by_broadcast(docs, items, run, shingle)
     else:
         leaks = _by_join(docs, items, run, shingle)
@@ -123,55 +164,99 @@ def _schema(docs: DataFrame, items: DataFrame) -> str:
     return f"doc {kinds[0]}, item {kinds[1]}, run_words int, containment double, estimate double"
 
 
+class Ensemble:
+    """Signatures of the pieces of test items, in partitions by size; answers which items windows may hold."""
+
+    def __init__(self, texts: list[str], run: int, shingle: int):
+        self.run, self.shingle, self.window = run, shingle, 2 * run
+        hashes, owner = _shingles(texts, shingle)
+        sizes = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        most, common = PIECE - shingle + 1, run - shingle + 1
+        pieces = []
+        for k, size in enumerate(sizes):
+            if size >= common:
+                # pieces overlap by all shingles of a leak but one
+                for a in range(0, max(1, size - common + 1), most - common + 1):
+                    pieces.append((min(most, size - a), starts[k] + a, k))
+        pieces.sort()
+        #: Upper size and number of permutations of each partition.
+        self.partitions: list[tuple[int, int]] = []
+        self.item = np.array([k for _, _, k in pieces], dtype=np.int64)
+        self.size = np.zeros(len(pieces), dtype=np.int64)
+        minima, at, which = [], [], []
+        for part in np.array_split(np.arange(len(pieces)), PARTITIONS):
+            if len(part):
+                upper = pieces[part[-1]][0]
+                count = permutations(upper, self.window, run, shingle)
+                self.partitions.append((upper, count))
+                self.size[part] = count
+                xor, times = _seeds(count)
+                for p in part:
+                    size, a, _ = pieces[p]
+                    minima.append(((hashes[a : a + size, None] ^ xor) * times).min(axis=0))
+                    at.append(np.full(count, p))
+                    which.append(np.arange(count))
+        self.count = max((c for _, c in self.partitions), default=0)
+        keys = np.concatenate(minima) if minima else np.zeros(0, np.uint64)
+        which = np.concatenate(which) if which else np.zeros(0, np.int64)
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        #: For each permutation its minima in order and their pieces.
+        self.tables = []
+        for j in range(self.count):
+            own = np.flatnonzero(which == j)
+            own = own[np.argsort(keys[own], kind="stable")]
+            self.tables.append((keys[own], at[own]))
+
+    def candidates(self, texts: list[str]) -> dict[int, dict[int, float]]:
+        """By text the items that a window may hold, with the greatest share of a signature in common."""
+        hashes, owner = _shingles(texts, self.shingle)
+        if not len(hashes) or not self.count:
+            return {}
+        first, text = _blocks(owner, self.run)
+        joined = np.append(text[1:] == text[:-1], False)
+        xor, times = _seeds(self.count)
+        windows, pieces = [], []
+        for j, (keys, at) in enumerate(self.tables):
+            low = np.minimum.reduceat((hashes ^ xor[j]) * times[j], first)
+            low[:-1] = np.where(joined[:-1], np.minimum(low[:-1], low[1:]), low[:-1])
+            left = np.searchsorted(keys, low)
+            hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == low)
+            if len(hit):
+                n = np.searchsorted(keys, low[hit], side="right") - left[hit]
+                windows.append(np.repeat(hit, n))
+                pieces.append(at[np.repeat(left[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        if not windows:
+            return {}
+        both, common = np.unique(np.stack([np.concatenate(windows), np.concatenate(pieces)]), axis=1, return_counts=True)
+        out: dict[int, dict[int, float]] = {}
+        for t, item, share in zip(text[both[0]].tolist(), self.item[both[1]].tolist(), (common / self.size[both[1]]).tolist(), strict=True):
+            own = out.setdefault(t, {})
+            own[item] = max(own.get(item, 0.0), share)
+        return out
+
+
 def _by_broadcast(docs: DataFrame, items: DataFrame, run: int, shingle: int) -> DataFrame:
     rows = [(r["item"], composed(r["text"])) for r in items.collect()]
     schema = _schema(docs, items)
     arrow_item = items.select("item").limit(0).toArrow().schema.field(0).type
-    at, _, minima = signature([t for _, t in rows], run, shingle) if rows else (np.zeros(0, np.int64),) * 3
-    owned = np.unique(np.stack([minima.astype(np.uint64), at.astype(np.uint64)]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
-    sizes = np.bincount(owned[1].astype(np.int64), minlength=len(rows))
-    # one partition of items for each size class; the least share that a leak has in common is one minimum
-    stretches = np.bincount(at, minlength=len(rows)) if len(at) else np.zeros(len(rows), np.int64)
-    partitions = []
-    classes = np.searchsorted(SIZES, stretches + run - shingle)
-    for c in np.unique(classes):
-        own = classes[owned[1].astype(np.int64)] == c
-        if own.any():
-            partitions.append((owned[0][own], owned[1][own].astype(np.int64)))
-    shared = docs.sparkSession.sparkContext.broadcast((rows, partitions, sizes, stretches))
+    shared = docs.sparkSession.sparkContext.broadcast((rows, Ensemble([t for _, t in rows], run, shingle)))
 
     def scan(batches):
-        rows, partitions, sizes, stretches = shared.value
-        every = np.unique(np.concatenate([p[0] for p in partitions])) if partitions else np.zeros(0, np.uint64)
-        # a small table that most minima of documents fail is looked up first
-        bits = 22
-        filt = np.zeros(1 << bits, dtype=bool)
-        filt[(every >> np.uint64(64 - bits)).astype(np.int64)] = True
+        rows, ensemble = shared.value
         index = None
         for batch in batches:
             keys = batch.column(0)
             out: list[tuple] = []
             for lo, _hi, texts in chunks(batch, "text"):
-                if not len(every):
-                    continue
                 texts = [composed(t) for t in texts]
-                text, _, minima = signature(texts, run, shingle)
-                maybe = np.flatnonzero(filt[(minima >> np.uint64(64 - bits)).astype(np.int64)])
-                sure = maybe[every[np.minimum(np.searchsorted(every, minima[maybe]), len(every) - 1)] == minima[maybe]]
-                if not len(sure):
-                    continue
-                if index is None:
-                    index = _index(rows, run)
-                for t in np.unique(text[sure]):
-                    own = np.unique(minima[sure[text[sure] == t]])
-                    common = np.zeros(len(rows), dtype=np.int64)
-                    for values, owner in partitions:
-                        common += np.bincount(owner[np.isin(values, own)], minlength=len(rows))
-                    if not common.any():
-                        continue
+                for t, items in ensemble.candidates(texts).items():
+                    if index is None:
+                        index = _index(rows, run)
+                        stretches = np.bincount([k for held in index.values() for k, _ in held], minlength=len(rows))
                     for item, (length, held) in _longest(spelled(texts[t]), index, run).items():
-                        if common[item]:
-                            out.append((lo + int(t), rows[item][0], length, held / stretches[item], common[item] / sizes[item]))
+                        if item in items:
+                            out.append((lo + t, rows[item][0], length, held / stretches[item], items[item]))
             picked = keys.take(pa.array([o[0] for o in out], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [picked, pa.array([o[1] for o in out], arrow_item), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.float64()), pa.array([o[4] for o in out], pa.float64())],
@@ -197,38 +282,32 @@ def _minima(table: DataFrame, key: str, run: int, shingle: int) -> DataFrame:
 
 
 def _by_join(docs: DataFrame, items: DataFrame, run: int, shingle: int) -> DataFrame:
-    """As _by_broadcast for any number of test items: minima meet in a shuffled join, texts follow their candidates."""
+    """As _by_broadcast for any number of test items; each document's text moves once, to all its candidates."""
     schema = _schema(docs, items)
-    from tabulith.session import cut
-
+    arrow_item = items.select("item").limit(0).toArrow().schema.field(0).type
     # row numbers must not change between uses, so they are cut from their lineage
     docs = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc", "text"))
     items = cut(items.select(F.monotonically_increasing_id().alias("row"), "item", "text"))
     own = _minima(items.select("row", "text"), "row", run, shingle)
-    sizes = own.groupBy("row").agg(F.count("*").alias("size"))
-    pairs = (
-        _minima(docs.select("row", "text"), "row", run, shingle).withColumnRenamed("row", "doc_row")
-        .join(own.withColumnRenamed("row", "item_row"), "minimum")
-        .groupBy("doc_row", "item_row").agg(F.count("*").alias("common"))
-    )
-    both = (
-        pairs.join(sizes, pairs.item_row == sizes.row).drop("row")
-        .join(docs.withColumnRenamed("text", "doc_text"), F.col("doc_row") == docs.row).drop("row")
-        .join(items.withColumnRenamed("text", "item_text"), F.col("item_row") == items.row)
-        .select("doc", "item", "doc_text", "item_text", (F.col("common") / F.col("size")).alias("estimate"))
-    )
+    sizes = own.groupBy("row").agg(F.count("*").alias("size")).withColumnRenamed("row", "item_row")
+    # documents of one minimum are split, as wording that many of them hold may be an item's too
+    theirs = _minima(docs.select("row", "text"), "row", run, shingle).select(F.col("row").alias("doc_row"), "minimum", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"))
+    spread = own.select(F.col("row").alias("item_row"), "minimum", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = theirs.join(spread, ["minimum", "salt"]).groupBy("doc_row", "item_row").agg(F.count("*").alias("common"))
+    told = pairs.join(sizes, "item_row").join(items.withColumnRenamed("row", "item_row"), "item_row")
+    held = told.groupBy("doc_row").agg(F.collect_list(F.struct("item", "text", (F.col("common") / F.col("size")).alias("estimate"))).alias("held"))
+    both = docs.join(held, F.col("row") == F.col("doc_row")).select("doc", "text", "held")
 
     def verify(batches):
         for batch in batches:
-            keep, length, share = [], [], []
-            for i, (d, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                index = _index([(0, composed(t))], run)
-                for best, held in _longest(spelled(composed(d)), index, run).values():
-                    keep.append(i)
-                    length.append(best)
-                    share.append(held / sum(map(len, index.values())))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(length, pa.int32()), pa.array(share, pa.float64()), batch.column(4).take(at)], names=["doc", "item", "run_words", "containment", "estimate"])
+            out: list[tuple] = []
+            for i, (d, held) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                index = _index([(k, composed(h["text"])) for k, h in enumerate(held)], run)
+                stretches = np.bincount([k for own in index.values() for k, _ in own], minlength=len(held))
+                for k, (best, count) in _longest(spelled(composed(d)), index, run).items():
+                    out.append((i, held[k]["item"], best, count / stretches[k], held[k]["estimate"]))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), arrow_item, pa.int32(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=["doc", "item", "run_words", "containment", "estimate"])
 
     return both.mapInArrow(verify, schema)
 
