@@ -128,18 +128,31 @@ class Sample:
             repair(self.plans[name], self.available, random.Random(f"{seed}/{name}"))
 
     def report(self) -> DataFrame:
-        """A row for each target: (plan_name, target_no, by, target_rows, min_rows, available, sampled, actual_share, met)."""
-        out = []
+        """A row for each target: (plan_name, target_no, by, target_rows, min_rows, available, sampled, actual_share, met).
+
+        sampled counts the rows that were drawn. A target is met if the sample reaches its
+        target and its floor, or lacks no more than rows that exist could fill, which
+        happens where a target is no whole number or the floors of others take its place.
+        """
+        names = [f"s{i}" for i in range(len(self.by))]
+        asked, sizes = [], {}
         for name, p in self.plans.items():
-            whole = sum(p.counts.values())
+            sizes[name] = sum(p.counts.values())
             for s, targets in p.targets.items():
                 for no, share, floor in targets:
-                    have, wanted = self.available.get(s, 0), share * p.size
-                    sampled = p.counts.get(s, 0)
-                    # what the sample holds of a target is short only where the rows are
-                    out.append((name, no, *s, float(wanted), floor, have, sampled, sampled / whole if whole else None, have >= max(wanted, floor)))
-        columns = ", ".join(f"{c} string" for c in self.by)
-        return self.spark.createDataFrame(out, f"plan_name string, target_no bigint, {columns}, target_rows double, min_rows int, available bigint, sampled bigint, actual_share double, met boolean")
+                    asked.append((name, no, *s, float(share * p.size), floor, self.available.get(s, 0), sizes[name]))
+        columns = ", ".join(f"{c} string" for c in names)
+        wanted = self.spark.createDataFrame(asked, f"plan_name string, target_no bigint, {columns}, target_rows double, min_rows int, available bigint, size bigint")
+        drawn = self.draw().groupBy(F.col("plan_name").alias("d_plan"), *(F.col(c).alias(f"d{i}") for i, c in enumerate(self.by))).agg(F.count("*").alias("n"))
+        same = F.col("plan_name").eqNullSafe(F.col("d_plan"))
+        for i, n in enumerate(names):
+            same = same & F.col(n).eqNullSafe(F.col(f"d{i}"))
+        both = wanted.join(drawn, same, "left").withColumn("sampled", F.coalesce("n", F.lit(0)))
+        lacking = F.greatest("target_rows", F.col("min_rows").cast("double")) - F.col("sampled")
+        return both.select(
+            "plan_name", "target_no", *(F.col(n).alias(c) for n, c in zip(names, self.by, strict=True)), "target_rows", "min_rows", "available", "sampled",
+            F.when(F.col("size") > 0, F.col("sampled") / F.col("size")).alias("actual_share"), (lacking <= F.col("available") - F.col("sampled")).alias("met"),
+        )
 
     def draw(self) -> DataFrame:
         """The samples: (plan_name, key, by). Rows of a signature are drawn in hash order of their keys.
@@ -154,7 +167,7 @@ class Sample:
         for i, n in enumerate(names):
             same = same & F.col(n).eqNullSafe(F.col(f"w{i}"))
         per = self.rows
-        drawn = per.join(F.broadcast(plans), same).withColumn("rank", F.xxhash64("key", "plan_name", F.lit(SEED))).withColumn("bucket", F.shiftrightunsigned("rank", 56))
+        drawn = per.join(plans, same).withColumn("rank", F.xxhash64("key", "plan_name", F.lit(SEED))).withColumn("bucket", F.shiftrightunsigned("rank", 56))
         drawn = drawn.select("plan_name", *names, "key", "take", "rank", "bucket")
         group = ["plan_name", *names]
         totals = drawn.groupBy(*group, "bucket").agg(F.count("*").alias("n"))
@@ -164,7 +177,7 @@ class Sample:
         for c in [*group, "bucket"]:
             match = match & F.col(c).eqNullSafe(F.col(f"b_{c}"))
         # whole buckets beyond the wanted count are dropped before any ranking
-        kept = drawn.join(F.broadcast(before), match).where("before < take")
+        kept = drawn.join(before, match).where("before < take")
         rank = F.row_number().over(Window.partitionBy(*group, "bucket").orderBy("rank", "key"))
         kept = kept.withColumn("place", rank + F.col("before")).where("place <= take")
         return kept.select("plan_name", F.col("key").alias(self.key), *(F.col(n).alias(c) for n, c in zip(names, self.by, strict=True)))
