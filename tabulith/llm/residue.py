@@ -4,7 +4,8 @@ Method: interpolated character n-gram models are fitted for filler, for notices,
 and shells, and for natural prose. Each character of each document gets the logarithm of
 the likelihood ratio between residue and prose; windows in which the ratios add up to
 enough are residue, overlapping windows make spans, and documents are excluded by the
-share (`min_coverage`) or number (`min_chars`) of characters in spans.
+coverage of the whole text (`MIN_COVERAGE`) or of its most covered window of `NEAR`
+characters (`MIN_NEAR`, by kind), as residue stands alone or inside a real text.
 
 The residue models start from the training texts of residue_seeds. The prose model is
 fitted on all documents: their n-grams are counted by bucket on the tasks, and only tables
@@ -47,9 +48,14 @@ WINDOWS = ((8, 20.0), (12, 24.0), (24, 30.0), (48, 38.0))
 SPREAD = -0.6
 #: Ratios of a single character are kept within this bound.
 CLIP = 7.0
-#: Residue characters from which a document is excluded. Slots are short and stand out by
-#: their marks; filler and notices need more characters.
-MIN_CHARS = {"slot": 4, "filler": 8, "notice": 13}
+#: Mean ratio from which a text too short for any window is residue as a whole.
+SHORT_MEAN = 2.5
+#: Share of a text in spans from which it is excluded.
+MIN_COVERAGE = 0.5
+#: Width of the window of greatest coverage, and the share in spans from which a text is
+#: excluded. Slots are short and stand out by their marks; filler and notices cover more.
+NEAR = 48
+MIN_NEAR = {"slot": 4 / 48, "filler": 8 / 48, "notice": 13 / 48}
 #: Strength of the back-off to the next shorter context.
 BACKOFF = 1.5
 #: What less than about this share of the documents hold is unknown to the prose model.
@@ -158,13 +164,32 @@ def _quotes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(heads, dtype=np.uint64), np.array(sizes, dtype=np.int64), np.array(hashes, dtype=np.uint64)
 
 
+@lru_cache(maxsize=1)
+def _alone() -> np.ndarray:
+    """Hashes of all training texts, in order; a document may be one."""
+    found = set()
+    for text in (*FILLER, *NOTICES, *SHELLS, *slots()):
+        symbols = _symbols(code_points([text.strip()])[0])
+        if len(symbols) > 2:
+            found.add(int(Rolling(symbols).every(len(symbols))[0]))
+    return np.array(sorted(found), dtype=np.uint64)
+
+
 def _words(text: str) -> list[str]:
     return [w for w in text.split() if sum(ch.isalpha() for ch in w) > 1]
 
 
 def _quoting(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether each text holds a whole training text, between other characters than letters and digits."""
+    """Whether each text holds a whole training text, between other characters than letters and digits, or is one of any length."""
     out = np.zeros(len(starts) - 1, dtype=bool)
+    inked = np.flatnonzero((symbols != _alphabet()[32]) & (symbols != _alphabet()[10]))
+    a, b = np.searchsorted(inked, starts[:-1]), np.searchsorted(inked, starts[1:])
+    full = np.flatnonzero(b > a)
+    if len(full):
+        first = inked[a[full]]
+        whole = Rolling(symbols).windows(first, inked[b[full] - 1] + 1 - first)
+        known = _alone()
+        out[full] = known[np.minimum(np.searchsorted(known, whole), len(known) - 1)] == whole
     heads, sizes, hashes = _quotes()
     rolling = Rolling(symbols)
     every = rolling.every(QUOTED)
@@ -237,6 +262,15 @@ class Model:
         out[out >= _MISS] = 0
         return out, grams
 
+    def score_each(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Scores, buckets and symbols of texts end to end, each as if it stood alone."""
+        codes, starts = code_points(["\n" * ORDER + t for t in texts])
+        own = np.ones(len(codes), dtype=bool)
+        own[(starts[:-1, None] + np.arange(ORDER)).ravel()] = False
+        symbols = _symbols(codes)
+        scores, grams = self.score(symbols)
+        return scores[own], [g[own] for g in grams], symbols[own]
+
     def by_kind(self, grams: list[np.ndarray], at: np.ndarray) -> np.ndarray:
         """Log ratio of each kind for the characters at the given places."""
         out = self.kinds[ORDER - 1][grams[ORDER - 1][at]].astype(np.float32)
@@ -399,6 +433,11 @@ def _marked(scores: np.ndarray, starts: np.ndarray, windows: tuple = WINDOWS) ->
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + width, -1)
     inside = np.cumsum(cover[:-1]) > 0
+    # starts holds the end of each text; texts shorter than any window count as a whole
+    begins = np.concatenate([[0], starts[:-1]])
+    sizes = starts - begins
+    short = np.flatnonzero((sizes > 0) & (sizes < min(w for w, _ in windows)))
+    short = short[sums[starts[short]] - sums[begins[short]] >= SHORT_MEAN * sizes[short]] if windows is WINDOWS else short[:0]
     # of each stretch of windows, the parts with the greatest sums are residue
     least = min(x for _, x in windows)
     out = np.zeros(n, dtype=bool)
@@ -414,9 +453,23 @@ def _marked(scores: np.ndarray, starts: np.ndarray, windows: tuple = WINDOWS) ->
         begin = int(part[: end + 1].argmin())
         out[a + begin : a + end] = True
         todo += [(a, a + begin), (a + end, b)]
+    for t in short:
+        out[begins[t] : starts[t]] = True
     return out
 
 
+def _whole_words(marked: np.ndarray, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Spans widened to words of which they hold at least half."""
+    blank = (symbols == _alphabet()[32]) | (symbols == _alphabet()[10])
+    edge = ~blank
+    edge[1:] &= blank[:-1]
+    edge[starts[:-1][starts[:-1] < len(symbols)]] = True
+    word = np.cumsum(edge)
+    ink = np.bincount(word, weights=~blank)
+    hit = np.bincount(word, weights=marked & ~blank, minlength=len(ink))
+    return marked | (~blank & (2 * hit >= np.maximum(ink, 1))[word])
+
+
 def _count(tally: Tally, texts: list[str], repeated: Repeats, model: Model | None, turn: int) -> None:
     """Adds the texts to the tally of a round: as prose, or what the model of the round before finds in them as residue."""
     codes, starts = code_points(["\n" * ORDER + t for t in texts])
@@ -541,10 +594,11 @@ FIRST = ((32, -1.0), (48, -2.0))
 
 
 def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """Residue of each document: (key, n_chars, residue_chars, coverage, kind, first_start, first_text).
+    """Residue of each document: (key, n_chars, residue_chars, coverage, near_coverage, kind, first_start, first_text).
 
     Every row of docs gives one row, also without residue (residue_chars 0, kind null).
-    Null and empty texts have n_chars 0 and coverage 0. kind is that of most residue
+    Null and empty texts have n_chars 0 and coverage 0. coverage is the share of the text,
+    near_coverage that of its most covered window of NEAR characters. kind is that of most residue
     characters; first_start and first_text show the first span. Rows with equal keys stay
     separate rows, null keys too; other columns of docs are not read.
     """
@@ -554,7 +608,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     shared = spark.sparkContext.broadcast(model)
     key_type = docs.schema[key].dataType
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    names = ("n_chars", "residue_chars", "coverage", "kind", "first_start", "first_text")
+    names = ("n_chars", "residue_chars", "coverage", "near_coverage", "kind", "first_start", "first_text")
 
     def scan(batches):
         m = shared.value
@@ -564,11 +618,15 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                 codes, starts = code_points(texts)
                 rows = hi - lo
                 out = {"n_chars": np.diff(starts), "residue_chars": np.zeros(rows, dtype=np.int64)}
-                kind, start, first = [None] * rows, [None] * rows, [None] * rows
+                kind, start, first, near = [None] * rows, [None] * rows, [None] * rows, np.zeros(rows)
                 if len(codes):
-                    scores, grams = m.score(_symbols(codes))
-                    at = np.flatnonzero(_marked(scores, starts[1:]))
+                    scores, grams, symbols = m.score_each(texts)
+                    marked = _marked(scores, starts[1:])
+                    at = np.flatnonzero(_whole_words(marked, symbols, starts)) if marked.any() else np.zeros(0, np.int64)
                     if len(at):
+                        upto = np.zeros(len(codes) + 1, dtype=np.int64)
+                        upto[at + 1] = 1
+                        upto = np.cumsum(upto)
                         row = np.searchsorted(starts, at, side="right") - 1
                         out["residue_chars"] = np.bincount(row, minlength=rows)
                         heads = np.flatnonzero(np.diff(row, prepend=-1) != 0)
@@ -576,6 +634,9 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                         ends = np.append(heads[1:], len(at))
                         for h, e, k in zip(heads, ends, kinds, strict=True):
                             r = row[h]
+                            a, b = starts[r], starts[r + 1]
+                            wide = min(NEAR, b - a)
+                            near[r] = (upto[a + wide : b + 1] - upto[a : b - wide + 1]).max() / wide
                             stop = h + 1
                             while stop < e and at[stop] - at[stop - 1] <= 2:
                                 stop += 1
@@ -583,21 +644,21 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                             first[r] = texts[r][start[r] : int(at[stop - 1] - starts[r]) + 1]
                 n = np.maximum(out["n_chars"], 1)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(lo, rows), pa.array(out["n_chars"]), pa.array(out["residue_chars"]), pa.array(out["residue_chars"] / n), pa.array(kind, pa.string()), pa.array(start, pa.int64()), pa.array(first, pa.string())],
+                    [keys.slice(lo, rows), pa.array(out["n_chars"]), pa.array(out["residue_chars"]), pa.array(out["residue_chars"] / n), pa.array(near), pa.array(kind, pa.string()), pa.array(start, pa.int64()), pa.array(first, pa.string())],
                     names=["key", *names],
                 )
 
     kind_of = key_type.simpleString()
-    found = source.mapInArrow(scan, f"key {kind_of}, n_chars bigint, residue_chars bigint, coverage double, kind string, first_start bigint, first_text string")
+    found = source.mapInArrow(scan, f"key {kind_of}, n_chars bigint, residue_chars bigint, coverage double, near_coverage double, kind string, first_start bigint, first_text string")
     return found.withColumnRenamed("key", key)
 
 
-def excluded(found: DataFrame, min_coverage: float = 0.0, min_chars: dict[str, int] = MIN_CHARS) -> DataFrame:
-    """The documents to exclude: those with at least this share of residue characters, and their kind's number of them."""
-    least = F.lit(max(min_chars.values()))
-    for kind, chars in min_chars.items():
-        least = F.when(F.col("kind") == kind, F.lit(chars)).otherwise(least)
-    return found.where((F.col("residue_chars") >= least) & (F.col("coverage") >= min_coverage))
+def excluded(found: DataFrame, min_coverage: float = MIN_COVERAGE, min_near: dict[str, float] = MIN_NEAR) -> DataFrame:
+    """The documents to exclude: residue covers at least this share of the text, or of its most covered window by kind."""
+    least = F.lit(max(min_near.values()))
+    for kind, share in min_near.items():
+        least = F.when(F.col("kind") == kind, F.lit(share)).otherwise(least)
+    return found.where((F.col("residue_chars") > 0) & ((F.col("coverage") >= min_coverage) | (F.col("near_coverage") >= least)))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
