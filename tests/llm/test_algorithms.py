@@ -49,6 +49,16 @@ def test_shared_spans_against_brute_force(spark, hot):
     assert spans.shared_spans(df.limit(0), min_chars=40).count() == 0
 
 
+def test_longest_span_is_held_by_one_other_record(spark):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = make(40), make(40), make(170)
+    data = [("run", 0, a + b), ("run", 1, a + make(9)), ("run", 2, make(7) + b), ("run", 3, make(5) + c), ("run", 4, c[:165] + make(30)), ("run", 5, make(50)), ("run", 6, c[3:90])]
+    df = spark.createDataFrame(data, "record_kind string, record_id bigint, text string")
+    got = {r["record_id"]: (r["longest"], r["shared_chars"]) for r in spans.shared_spans(df, min_chars=40).collect()}
+    assert got[0] == (40, 80) and got[1][0] == got[2][0] == 40 and got[3][0] == got[4][0] == 160 and got[6] == (80, 87) and 5 not in got
+
+
 def test_span_inside_one_record_only_is_no_case(spark):
     piece = "".join(random.Random(1).choice("abcdef ") for _ in range(50))
     df = spark.createDataFrame([("run", 1, piece + "|" + piece), ("run", 2, piece[:39] + "#")], "record_kind string, record_id bigint, text string")
@@ -58,7 +68,7 @@ def test_span_inside_one_record_only_is_no_case(spark):
 ITEM = "Severe cough under drug one tracked the second score closely, 12.5 versus 8, in 300 people rated at the first site of the study."
 
 
-@pytest.mark.parametrize("limit", [leaks.BROADCAST_LIMIT, 0])
+@pytest.mark.parametrize("limit", [leaks.BROADCAST_WORDS, 0])
 def test_leaks(spark, limit):
     words = ITEM.split()
     docs = [
@@ -68,7 +78,7 @@ def test_leaks(spark, limit):
     items = [(10, ITEM), (11, "too short to leak"), (12, None), (13, " ".join(words[2:])), (14, "")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item", F.lit(1)).withColumn("estimate", F.lit(1))
     p = spark.createDataFrame(items, "passage_id bigint, text string").withColumn("doc", F.lit(1))
-    got = {(r["doc_id"], r["passage_id"]) for r in leaks.find_leaks(d, p, broadcast_limit=limit).collect()}
+    got = {(r["doc_id"], r["passage_id"]) for r in leaks.find_leaks(d, p, broadcast_words=limit).collect()}
     truth = set()
     for k, t in docs:
         w = leaks.spelled(t or "")
@@ -78,8 +88,26 @@ def test_leaks(spark, limit):
             if any(tuple(v[i : i + 13]) in grams for i in range(len(v) - 12)):
                 truth.add((k, n))
     assert got == truth and (7, 10) in got and (9, 10) in got and (3, 10) not in got
-    assert leaks.find_leaks(d.limit(0), p, broadcast_limit=limit).count() == 0
-    assert leaks.find_leaks(d, p.limit(0), broadcast_limit=limit).count() == 0
+    assert leaks.find_leaks(d.limit(0), p, broadcast_words=limit).count() == 0
+    assert leaks.find_leaks(d, p.limit(0), broadcast_words=limit).count() == 0
+
+
+def test_ensemble_partitions_bound_what_is_missed():
+    """Items of any size are found by a run of the least length; larger partitions have more permutations."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.choice([13, 20, 40, 80, 200]))) for _ in range(300)]
+    ensemble = leaks.Ensemble(items, leaks.RUN, leaks.SHINGLE)
+    uppers = [u for u, _ in ensemble.partitions]
+    assert uppers == sorted(uppers) and ensemble.partitions[0][1] < ensemble.partitions[-1][1]
+    docs = []
+    for item in items:
+        own = item.split()
+        at = rng.randint(0, len(own) - 13)
+        docs.append(" ".join([*(rng.choice(words) for _ in range(rng.randint(0, 90))), *own[at : at + 13], *(rng.choice(words) for _ in range(60))]))
+    got = ensemble.candidates(docs)
+    assert all(i in got.get(i, {}) for i in range(len(items)))
+    assert sum(map(len, got.values())) < 2 * len(items)
 
 
 def test_percentile_error_and_merging(spark):
@@ -157,17 +185,35 @@ def test_schedule_stays_within_one_block():
 
 
 def test_mixture(spark):
-    docs = [(i, "big" if i % 3 else "small", "one two three four five six " * (i % 5 + 1)) for i in range(60)] + [(100, None, "x"), (101, "other", "x"), (102, "big", None), (103, "big", "")]
-    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumn("bucket", F.lit(1)).withColumn("n_tokens", F.lit(1))
+    docs = [(i, "big" if i % 3 else "small", "one two three four five six " * (i % 5 + 1)) for i in range(60)] + [(100, None, "x"), (101, "other", "x"), (102, "big", None), (103, "big", ""), (104, "big", "one two three " * 70)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumn("bucket", F.lit(1)).withColumn("n_tokens", F.lit(1)).withColumn("place", F.lit(1))
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 2), ("gone", 0.1, 3)], "source string, target_share double, max_repeats int")
-    report = {r["source"]: r for r in mixing.shares(df, targets).collect()}
+    mixed = mixing.Mixture(df, targets, blocks=50)
+    report = {r["source"]: r for r in mixed.report().collect()}
     assert report["big"]["met"] and report["small"]["met"] and not report["gone"]["met"]
-    used = mixing.mixture(df, targets, blocks=50).collect()
-    sizes = {r["doc_id"]: r["n_tokens"] for r in used}
+    used = sorted(mixed.rows().collect(), key=lambda r: (r["place"], r["offset"]))
+    # parts of a use of a document are its tokens in order, each once, but for the last use that a source gives
+    parts: dict = {}
+    for r in used:
+        at = parts.setdefault((r["source"], r["doc_id"], r["repeat"]), [])
+        assert r["first_token"] == sum(at)
+        at.append(r["n_tokens"])
+    sizes = {r["key"]: r["n_tokens"] for r in mixed.sized.collect()}
+    assert sum(sum(p) != sizes[k[1]] for k, p in parts.items()) <= 2
     for source, most in (("big", 1), ("small", 2)):
         given = sum(r["n_tokens"] for r in used if r["source"] == source)
-        assert abs(given - report[source]["target_size"]) <= max(sizes.values())
+        assert given == report[source]["actual_size"] == math.ceil(report[source]["target_size"])
         assert max(r["repeat"] for r in used if r["source"] == source) <= most
-    assert {r["source"] for r in used} == {"big", "small"}
-    assert mixing.shares(df.limit(0), targets).where("met").count() == 0
-    assert mixing.mixture(df.limit(0), targets).count() == 0
+    # every prefix of the rows is less than one block away from the shares
+    whole = sum(r["n_tokens"] for r in used)
+    block = math.ceil(sum(sizes.values()) / 50)
+    share = {s: report[s]["actual_size"] / whole for s in ("big", "small")}
+    sofar, seen = 0, dict.fromkeys(share, 0)
+    for r in used:
+        sofar += r["n_tokens"]
+        seen[r["source"]] += r["n_tokens"]
+        assert all(abs(seen[s] - share[s] * sofar) < block for s in share)
+    assert max(sizes.values()) > 5 * block
+    assert mixing.Mixture(df.limit(0), targets).report().where("met").count() == 0
+    assert mixing.Mixture(df.limit(0), targets).rows().count() == 0
+    assert mixing.Mixture(df, targets.limit(0)).report().count() == 0

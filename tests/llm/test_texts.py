@@ -12,24 +12,47 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_canonical_is_consistent_and_idempotent():
-    same = ["Café at WEEK 12", "café at week 12", "café​ at week １２", "cаfé at week 12"]
-    assert len({lookalikes.canonical(s) for s in same}) == 1
-    for s in [*same, "", "​", "ßẞ", "İstanbul", "10⁹/L", "a\tb\nc"]:
-        once = lookalikes.canonical(s)
-        assert lookalikes.canonical(once) == once
+@pytest.fixture(scope="module")
+def made_by(spark):
+    return lookalikes.forms()
+
+
+def test_canonical_is_consistent_and_idempotent(made_by):
+    same = ["Café at WEEK 12", "café at week 12", "café\u200b at week １２", "cаfé at week 12", "cafe\u0301 at week 12"]
+    assert len({made_by.canonical(s) for s in same}) == 1
+    for s in [*same, "", "\u200b", "ßẞ", "İstanbul", "10⁹/L", "a\tb\nc"]:
+        once = made_by.canonical(s)
+        assert made_by.canonical(once) == once
 
 
-def test_visible_keeps_what_a_reader_sees():
-    v = lookalikes.visible
+def test_capitals_of_other_scripts(made_by):
+    """Capitals that look alike although their small letters do not."""
+    for odd, plain in (("Week В", "Week B"), ("Тable", "Table"), ("Меаn", "Mean"), ("Ηigh", "High"), ("Α", "A"), ("Νo", "No"), ("Ϲost", "Cost"), ("Ёlan", "Ëlan"), ("ΚΕΥ", "KEY")):
+        assert made_by.visible(odd) == made_by.visible(plain) and made_by.canonical(odd) == made_by.canonical(plain), odd
+
+
+def test_visible_keeps_what_a_reader_sees(made_by):
+    v = made_by.visible
     assert v("diﬀerence") == v("difference") and v("pоlo") == v("polo")
     assert v("Week") != v("week") and v("m²") != v("m2") and v("cafe") != v("café")
+    assert v("TNF-α") != v("TNF-a") and v("p1") != v("pl") and v("В") != v("в")
+
 
+def test_equal_visible_forms_have_equal_canonical_forms(made_by):
+    texts = ["Ａbc", "Аbc", "abc", "ABC", "ﬁt", "fit", "x²", "x2", "ΝΟ", "NO", "е\u0308", "ë", "a\u00a0b", "a b", "ſ", "ϐ", "β"]
+    for a in texts:
+        for b in texts:
+            if made_by.visible(a) == made_by.visible(b):
+                assert made_by.canonical(a) == made_by.canonical(b)
 
-def test_same_looking_pairs(spark):
-    data = [(1, "alpha beta"), (2, "аlpha beta"), (2, "аlpha beta"), (3, "alpha beta"), (4, "Alpha beta"), (5, None), (None, "alpha beta"), (6, "—"), (7, "-"), (8, ""), (9, "alpha­beta"), (10, LONG), (11, LONG.replace("e", "е", 1))]
-    df = spark.createDataFrame(data, "key_a bigint, visible string").withColumn("form", F.lit(1))
-    assert rows(lookalikes.same_looking(df, "key_a", "visible")) == [(1, 2), (2, 3), (10, 11)]
+
+@pytest.mark.parametrize("block", [1, 4096])
+def test_same_looking_pairs(spark, block):
+    data = [(1, "alpha beta"), (2, "аlpha beta"), (2, "аlpha beta"), (3, "alpha beta"), (4, "Alpha beta"), (5, None), (None, "alpha beta"), (6, "—"), (7, "-"), (8, ""), (9, "alpha\u00adbeta"), (10, LONG), (11, LONG.replace("e", "е", 1)), (12, "Week В"), (13, "Week B")]
+    df = spark.createDataFrame(data, "key_a bigint, visible string").withColumn("form", F.lit(1)).withColumn("class_id", F.lit(1))
+    assert rows(lookalikes.same_looking(df, "key_a", "visible", block)) == [(1, 2), (2, 3), (10, 11), (12, 13)]
+    classes = {r["key_a"]: (r["class_rows"], r["links"]) for r in lookalikes.look_classes(df, "key_a", "visible").collect()}
+    assert classes == {1: (3, 1), 2: (3, 2), 3: (3, 1), 10: (2, 1), 11: (2, 1), 12: (2, 1), 13: (2, 1)}
     assert rows(lookalikes.same_looking(df.limit(0), "key_a", "visible")) == []
 
 
@@ -47,25 +70,37 @@ def test_residue_of_awkward_rows(spark):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
-def test_residue_held_out_accuracy():
-    """Models fitted on one half of made-up texts find what is in the other half."""
-    import random
+#: Residue whose wording is in no training text.
+UNSEEN = [
+    "HTTP 499 - the upstream node closed your connection early.", "This archive wants JavaScript switched on before it can show the record.", "We could not prove you are a person; tick the box to go on.",
+    "Prepared for {{cohort_lead}} on request.", "Dear [INSERT chairperson], as agreed.", "The mean was <%= wound.area %> at the end.", "Value: undefined; grade: null; ward: NaN", "Lorem ipsum vestra quidem nostrum elitam dolorem suntque.",
+    "Click or tap here to enter the ward.", "Overwrite this box with two lines about harms, then remove this note.", "Grade: TBD. Ward: TBD. Nurse: TBD.", "Nurse: ________ Ward: ________", "#VALUE! | #N/A | #REF!",
+]
+SOUND = ["Not found in the second list; ask the site.", "Scripts for the interview were tested in 12 people.", "An error of 4 points was accepted at week 3.", "The undefined group was small (n = 12).", "Cookies were given as a reward at each visit."]
 
-    rng = random.Random(3)
-    words = "patients received treatment during weeks with placebo response rate score baseline analysis group mean outcome safety site".split()
-    text = lambda: " ".join(" ".join(rng.choice(words) for _ in range(12)).capitalize() + "." for _ in range(6))
-    bad = ["HTTP 503: Service Unavailable", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Prepared for [INSERT sponsor].", "Please enable JavaScript to view this page.", "Click or tap here to enter text."]
-    fit = [text() + (" " + rng.choice(bad) if i % 100 == 7 else "") for i in range(400)]
-    model = residue.fit(fit)
+
+def test_residue_held_out_accuracy():
+    """Models fitted on made-up prose alone find residue of unseen wording inside prose and leave sound texts alone."""
     from tabulith.llm.codes import code_points
 
-    right = 0
-    for i in range(100):
-        t = text() + (" " + bad[i % 5] if i % 2 else "")
-        codes, starts = code_points([t])
-        scores, _ = model.score(residue._symbols(codes))
-        right += bool(residue._marked(scores, starts[1:]).sum() >= 4) == bool(i % 2)
-    assert right >= 90
+    assert not any(u in seed or seed in (u,) for u in UNSEEN for seed in (*residue.NOTICES, *residue.FILLER, *residue.SHELLS, *residue.slots()))
+    prose = prose_texts(500, seed=8)
+    model = residue.fit([*prose[:400], *(f"{t} {s}" for t, s in zip(prose[:100], SOUND * 20, strict=True))])
+
+    def found(text):
+        codes, starts = code_points([text])
+        symbols = residue._symbols(codes)
+        return bool(residue._marked(model.score(symbols)[0], starts[1:]).sum() >= 4)
+
+    hits = [found(f"{prose[400 + i]} {u} {prose[401 + i]}") for i, u in enumerate(UNSEEN)]
+    false = [found(f"{prose[450 + i]} {s} {prose[451 + i]}") for i, s in enumerate(SOUND)] + [found(t) for t in prose[460:]]
+    assert sum(hits) >= 0.9 * len(hits) and sum(false) == 0, ([u for u, h in zip(UNSEEN, hits, strict=True) if not h], false)
+
+
+def test_short_residue_is_excluded_by_coverage(spark):
+    data = [*enumerate(prose_texts(200)), (1000, "TBD"), (1001, "[●]"), (1002, "NaN"), (1003, "#REF!"), (1004, "410 Gone"), (1005, "Error 404"), (1006, "Yes."), (1007, "12.5")]
+    found = residue.find_residue(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in residue.excluded(found).collect()} == {1000, 1001, 1002, 1003, 1004, 1005}
 
 
 PAGES = ["JavaScript is turned off. Please enable JavaScript in your browser to view this page.", "Error 404: the page you asked for was not found on this server.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit."]
@@ -136,3 +171,20 @@ def test_label_model_orders_patterns():
     model = pairs.label_model({(1, 1, 1): 30, (0, 0, 0): 900, (1, 0, 1): 3, (0, -1, 0): 50})
     assert model[(1, 1, 1)] > 0.95 > 0.1 > model[(0, 0, 0)]
     assert pairs.label_model({}) == {}
+
+
+def test_several_labels_stand_together(labels_of):
+    """No defect hides another: a refusal in another language than the original, and a broken-off text in one."""
+    got = labels_of([(1, "Es tut mir leid, ich kann diese Aussage leider nicht umformulieren, weil sie so nicht stimmt und nicht belegt ist."), (2, "In knee pain, drug A, el análisis de los datos mostró una diferencia de 12.5 puntos entre los grupos y con")])
+    assert {(1, "refusal"), (1, "language")} <= got and {(2, "truncated"), (2, "language")} <= got
+
+
+@pytest.fixture(scope="module")
+def labels_of(spark):
+    def run(extra):
+        sound = [(1000 + i, ORIGINAL.replace("12.5", f"{i}.5").replace("knee", f"area{i}"), CASES[0][0].replace("12.5", f"{i}.5").replace("knee", f"area{i}")) for i in range(13, 200)]
+        data = [(100 + i, ORIGINAL, claim) for i, (claim, _) in enumerate(CASES)] + sound + [(i, ORIGINAL, c) for i, c in extra]
+        df = spark.createDataFrame(data, "item_no bigint, original string, claim string")
+        return {tuple(r) for r in pairs.broken_pairs(df, "item_no", "original", "claim").select("item_no", "defect").collect()}
+
+    return run
