@@ -58,6 +58,8 @@ NEAR = 48
 MIN_NEAR = {"slot": 4 / 48, "filler": 8 / 48, "notice": 13 / 48}
 #: Strength of the back-off to the next shorter context.
 BACKOFF = 1.5
+#: Least probability; the n-gram that stands for a bucket may be of a document that teaches no longer.
+LEAST = np.float32(1e-6)
 #: What less than about this share of the documents hold is unknown to the prose model.
 DISCOUNT = 0.001
 _MISS = np.float16(np.inf)
@@ -152,8 +154,8 @@ QUOTED = 8
 
 
 @lru_cache(maxsize=1)
-def _quotes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training texts of two words and more: hashes of their beginnings in order, their lengths and hashes."""
+def _quotes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Training texts of two words and more: hashes of their beginnings in order, their lengths and hashes, and which leading bits the beginnings have."""
     found = set()
     for text in (*FILLER, *NOTICES, *SHELLS):
         symbols = _symbols(code_points([text.strip(" .:")])[0])
@@ -161,7 +163,10 @@ def _quotes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rolling = Rolling(symbols)
             found.add((int(rolling.every(QUOTED)[0]), len(symbols), int(rolling.every(len(symbols))[0])))
     heads, sizes, hashes = zip(*sorted(found), strict=True)
-    return np.array(heads, dtype=np.uint64), np.array(sizes, dtype=np.int64), np.array(hashes, dtype=np.uint64)
+    heads = np.array(heads, dtype=np.uint64)
+    leading = np.zeros(1 << BITS, dtype=bool)
+    leading[heads >> np.uint64(64 - BITS)] = True
+    return heads, np.array(sizes, dtype=np.int64), np.array(hashes, dtype=np.uint64), leading
 
 
 @lru_cache(maxsize=1)
@@ -190,12 +195,13 @@ def _quoting(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         whole = Rolling(symbols).windows(first, inked[b[full] - 1] + 1 - first)
         known = _alone()
         out[full] = known[np.minimum(np.searchsorted(known, whole), len(known) - 1)] == whole
-    heads, sizes, hashes = _quotes()
+    heads, sizes, hashes, leading = _quotes()
     rolling = Rolling(symbols)
     every = rolling.every(QUOTED)
-    left = np.minimum(np.searchsorted(heads, every), len(heads) - 1)
-    at = np.flatnonzero(heads[left] == every)
-    k = left[at]
+    at = np.flatnonzero(leading[every >> np.uint64(64 - BITS)])
+    k = np.minimum(np.searchsorted(heads, every[at]), len(heads) - 1)
+    same = heads[k] == every[at]
+    at, k = at[same], k[same]
     inner = np.concatenate([[False], ((symbols > 0) & (symbols < 28)) | (symbols == 62), [False]])
     edge = np.zeros(len(inner), dtype=bool)
     edge[starts] = True
@@ -301,7 +307,7 @@ class _Interpolated:
         else:
             counts = np.maximum(counts - np.float32(self.discount), 0)
             probs = np.zeros(len(counts), dtype=np.float32)
-            probs[known] = (counts[known] + np.float32(BACKOFF) * self.probs[shorter]) / (self.counts[context] + np.float32(BACKOFF))
+            probs[known] = (counts[known] + np.float32(BACKOFF) * np.maximum(self.probs[shorter], LEAST)) / (self.counts[context] + np.float32(BACKOFF))
         self.counts, self.probs = counts, probs
         return np.log(probs[known])
 
@@ -313,15 +319,22 @@ PART = 1 << 20
 class Tally:
     """Counts of n-grams by bucket, of fixed size.
 
-    tables[n] holds the weight in prose, the number in found residue of each kind, and the
-    greatest n-gram seen (plus 1; 0 for none), which stands for its bucket.
+    tables[n] holds the weight in prose, the number in found residue of each kind (None
+    while there is none), and the greatest n-gram seen (plus 1; 0 for none), which stands
+    for its bucket.
     """
 
     def __init__(self):
-        self.tables = [[np.zeros(64 if n == 0 else 1 << BITS, dtype=np.int64) for _ in range(len(KINDS) + 2)] for n in range(ORDER)]
+        sizes = [64 if n == 0 else 1 << BITS for n in range(ORDER)]
+        self.tables: list[list[np.ndarray | None]] = [[np.zeros(size, dtype=np.int64), *[None] * len(KINDS), np.zeros(size, dtype=np.uint32)] for size in sizes]
         #: Characters, and their weight.
         self.total = np.zeros(2, dtype=np.int64)
 
+    def table(self, n: int, c: int) -> np.ndarray:
+        if self.tables[n][c] is None:
+            self.tables[n][c] = np.zeros(len(self.tables[n][0]), dtype=np.int64)
+        return self.tables[n][c]
+
     def add(self, symbols: np.ndarray, weight: np.ndarray, prose: np.ndarray, found: list[np.ndarray]) -> None:
         """weight: of each character; prose: whether it is prose; found: places of residue by kind."""
         parts = np.maximum(1, np.rint(weight * PART))
@@ -332,14 +345,15 @@ class Tally:
             used[at] = True
         used = slice(None) if used.all() else np.flatnonzero(used)
         for n, packed in enumerate(_packed(symbols)):
-            buckets, table = _bucket(packed, n), self.tables[n]
-            table[0] += np.bincount(buckets, weights=parts, minlength=len(table[0])).astype(np.int64)
+            buckets, table = _bucket(packed, n), self.table(n, 0)
+            table += np.bincount(buckets, weights=parts, minlength=len(table)).astype(np.int64)
             for k, at in enumerate(found):
-                np.add.at(table[1 + k], buckets[at], 1)
+                if len(at):
+                    np.add.at(self.table(n, 1 + k), buckets[at], 1)
             self.note(n, packed[used], buckets[used])
 
     def note(self, n: int, packed: np.ndarray, buckets: np.ndarray) -> None:
-        most, gram = self.tables[n][-1], packed.astype(np.int64) + 1
+        most, gram = self.tables[n][-1], packed + np.uint32(1)
         new = np.flatnonzero(most[buckets] < gram)
         np.maximum.at(most, buckets[new], gram[new])
 
@@ -347,19 +361,27 @@ class Tally:
         """(slot, packed counts) of what is not 0; slots number the slices of all tables."""
         for n, table in enumerate(self.tables):
             for c, counts in enumerate(table):
-                for i, part in enumerate(np.split(counts, 1 if n == 0 else SLICES)):
+                for i, part in enumerate(np.split(counts, 1 if n == 0 else SLICES) if counts is not None else ()):
                     if part.any():
                         yield (n * len(table) + c) * SLICES + i, zlib.compress(part.tobytes(), 1)
         yield -1, zlib.compress(self.total.tobytes(), 1)
 
     def merge(self, slot: int, data: bytes) -> None:
-        part = np.frombuffer(zlib.decompress(data), dtype=np.int64)
+        part = _unpacked(slot, data)
         if slot < 0:
             self.total += part
             return
         (n, c), i = divmod(slot // SLICES, len(KINDS) + 2), slot % SLICES
-        at = self.tables[n][c][i * len(part) : (i + 1) * len(part)]
-        _join(at, part, slot)
+        _join(self.table(n, c)[i * len(part) : (i + 1) * len(part)], part, slot)
+
+
+def _greatest(slot: int) -> bool:
+    """Whether a slot is of the greatest n-grams."""
+    return slot >= 0 and slot // SLICES % (len(KINDS) + 2) == len(KINDS) + 1
+
+
+def _unpacked(slot: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.uint32 if _greatest(slot) else np.int64)
 
 
 #: Slices of a table, which are added up apart from each other.
@@ -368,7 +390,7 @@ SLICES = 16
 
 def _join(into: np.ndarray, part: np.ndarray, slot: int) -> None:
     """Adds counts up; of n-grams the greatest stays."""
-    if slot >= 0 and slot // SLICES % (len(KINDS) + 2) == len(KINDS) + 1:
+    if _greatest(slot):
         np.maximum(into, part, out=into)
     else:
         into += part
@@ -385,26 +407,31 @@ def _seeds() -> list[tuple[np.ndarray, np.ndarray, float]]:
     return out
 
 
-def _fit(tally: Tally, rows: int) -> Model:
-    """Models from the training texts and the counts of that many documents."""
+def _fit(tally: Tally, rows: int, found: Tally | None = None) -> Model:
+    """Models from the training texts and the counts of that many documents.
+
+    found: of the documents in which the model before found residue what they had taught
+    the prose model, which is taken back, and their residue.
+    """
     docs = rows * (tally.total[1] / PART / tally.total[0] if tally.total[0] else 1.0)
     scale = min(1.0, FIT_DOCS / max(1.0, docs))
     base = _Interpolated(DISCOUNT * docs * scale)
     residue, each = _Interpolated(), [_Interpolated() for _ in KINDS]
     ratio, by_kind = [], []
     for n, table in enumerate(tally.tables):
-        prose = table[0] * (scale / PART)
-        kinds = [t * scale for t in table[1:-1]]
+        prose = (table[0] - found.tables[n][0] if found else table[0]) * (scale / PART)
+        kinds = [np.zeros(len(prose)) if not found or t is None else t * scale for t in (found or tally).tables[n][1:-1]]
+        most = np.maximum(table[-1], found.tables[n][-1]) if found else table[-1].copy()
         for k, (symbols, at, weight) in enumerate(_seeds()):
             packed = _packed(symbols)[n][at]
             buckets = _bucket(packed, n)
             kinds[k] += np.bincount(buckets, minlength=len(prose)) * weight
-            tally.note(n, packed, buckets)
+            np.maximum.at(most, buckets, packed + np.uint32(1))
         every = sum(kinds)
         known = np.arange(64) if n == 0 else np.flatnonzero((prose > 0) | (every > 0))
         shorter = context = None
         if n:
-            gram = (table[-1][known] - 1).astype(np.uint32)
+            gram = most[known] - np.uint32(1)
             shorter, context = _bucket(gram & np.uint32((1 << 6 * n) - 1), n - 1), _bucket(gram >> np.uint32(6), n - 1)
         plain = base.extend(prose, known, shorter, context)
         r = np.full(len(prose), _MISS, dtype=np.float16)
@@ -470,38 +497,56 @@ def _whole_words(marked: np.ndarray, symbols: np.ndarray, starts: np.ndarray) ->
     return marked | (~blank & (2 * hit >= np.maximum(ink, 1))[word])
 
 
-def _count(tally: Tally, texts: list[str], repeated: Repeats, model: Model | None, turn: int) -> None:
-    """Adds the texts to the tally of a round: as prose, or what the model of the round before finds in them as residue."""
+def _glued(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes, starts = code_points(["\n" * ORDER + t for t in texts])
-    symbols = _symbols(codes)
-    doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
-    bad = _quoting(symbols, starts)
-    found = [np.zeros(0, dtype=np.int64)] * len(KINDS)
-    if model is not None:
-        scores, grams = model.score(symbols)
-        # no window runs over the lines between texts, so a text's neighbours do not matter
-        scores[(starts[:-1, None] + np.arange(ORDER)).ravel()] = -1000
-        at = np.flatnonzero(_marked(scores, starts[1:], FIRST if turn == 1 else WINDOWS))
-        bad[doc_of[at]] = True
-        if len(at):
-            # spans end with their text
-            spans = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc_of[at], prepend=-1) > 0))
-            sums = np.add.reduceat(model.by_kind(grams, at), spans, axis=0)
-            kind = np.repeat(sums.argmax(axis=1), np.diff(np.append(spans, len(at))))
-            found = [at[kind == k] for k in range(len(KINDS))]
-            if turn > 1:
-                found[0] = np.union1d(found[0], _following(symbols, scores, found[0], starts))
+    return _symbols(codes), starts
+
+
+def _lesson(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which characters teach the prose model: those of texts that hold no training text."""
+    prose = np.repeat(~_quoting(symbols, starts), np.diff(starts))
     # of the lines before a text the last alone counts, as n-grams of the others reach into the text before
-    prose = ~bad[doc_of]
     prose[(starts[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
-    tally.add(symbols, repeated.weights(symbols, starts), prose, found)
+    return prose
+
+
+def _count(tally: Tally, texts: list[str], repeated: Repeats) -> None:
+    """Adds the texts to the tally as prose."""
+    symbols, starts = _glued(texts)
+    tally.add(symbols, repeated.weights(symbols, starts), _lesson(symbols, starts), [])
+
+
+def _count_found(tally: Tally, texts: list[str], repeated: Repeats, model: Model, turn: int) -> None:
+    """Adds the texts in which the model finds residue: what they teach as prose, and their residue."""
+    symbols, starts = _glued(texts)
+    doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
+    scores, grams = model.score(symbols)
+    # no window runs over the lines between texts, so a text's neighbours do not matter
+    scores[(starts[:-1, None] + np.arange(ORDER)).ravel()] = -1000
+    at = np.flatnonzero(_marked(scores, starts[1:], FIRST if turn == 1 else WINDOWS))
+    if not len(at):
+        return
+    # spans end with their text
+    spans = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc_of[at], prepend=-1) > 0))
+    sums = np.add.reduceat(model.by_kind(grams, at), spans, axis=0)
+    kind = np.repeat(sums.argmax(axis=1), np.diff(np.append(spans, len(at))))
+    found = [at[kind == k] for k in range(len(KINDS))]
+    if turn > 1:
+        found[0] = np.union1d(found[0], _following(symbols, scores, found[0], starts))
+    bad = np.zeros(len(texts), dtype=bool)
+    bad[doc_of[at]] = True
+    kept = bad[doc_of]
+    place = np.cumsum(kept) - 1
+    symbols, starts = symbols[kept], np.concatenate([[0], np.cumsum(np.diff(starts)[bad])])
+    tally.add(symbols, repeated.weights(symbols, starts), _lesson(symbols, starts), [place[f] for f in found])
 
 
 def _rounds(counted, rows: int) -> Model:
-    """The model of the last round; counted gives the tally of a round by the model before it."""
-    model = None
-    for turn in range(ROUNDS):
-        model = _fit(counted(model, turn), rows)
+    """The model of the last round; counted gives the tally of all documents, or of those in which a model finds residue."""
+    whole = counted(None, 0)
+    model = _fit(whole, rows)
+    for turn in range(1, ROUNDS):
+        model = _fit(whole, rows, counted(model, turn))
     return model
 
 
@@ -511,17 +556,20 @@ def _parts(texts: list[str]):
             yield part
 
 
+def _tallied(parts, repeated: Repeats, model: Model | None, turn: int) -> Tally:
+    tally = Tally()
+    for part in parts:
+        if model is None:
+            _count(tally, part, repeated)
+        else:
+            _count_found(tally, part, repeated, model, turn)
+    return tally
+
+
 def fit(texts: list[str]) -> Model:
     """Models from the training texts and these documents; see the module's text."""
     repeated = _repeats(texts)
-
-    def counted(model: Model | None, turn: int) -> Tally:
-        tally = Tally()
-        for part in _parts(texts):
-            _count(tally, part, repeated, model, turn)
-        return tally
-
-    return _rounds(counted, len(texts))
+    return _rounds(lambda model, turn: _tallied(_parts(texts), repeated, model, turn), len(texts))
 
 
 def fit_table(docs: DataFrame, text: str) -> Model:
@@ -535,18 +583,15 @@ def fit_table(docs: DataFrame, text: str) -> Model:
         before = context.broadcast(model)
 
         def count(batches):
-            tally = Tally()
-            for batch in batches:
-                for _, _, texts in chunks(batch, "text", FIT_CHARS):
-                    _count(tally, texts, repeated.value, before.value, turn)
-            for slot, data in tally.slices():
+            parts = (texts for batch in batches for _, _, texts in chunks(batch, "text", FIT_CHARS))
+            for slot, data in _tallied(parts, repeated.value, before.value, turn).slices():
                 yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([data], pa.binary())], names=["slot", "data"])
 
         def add(batches):
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    part = np.frombuffer(zlib.decompress(data.as_py()), dtype=np.int64)
+                    part = _unpacked(slot, data.as_py())
                     if slot in sums:
                         _join(sums[slot], part, slot)
                     else:
@@ -556,7 +601,7 @@ def fit_table(docs: DataFrame, text: str) -> Model:
 
         form = "slot int, data binary"
         out = Tally()
-        for slot, data in source.mapInArrow(count, form).repartition("slot").mapInArrow(add, form).collect():
+        for slot, data in source.mapInArrow(count, form).repartition("slot").mapInArrow(add, form).toLocalIterator():
             out.merge(slot, bytes(data))
         before.destroy()
         return out
