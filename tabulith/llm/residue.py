@@ -358,42 +358,55 @@ class Tally:
         np.maximum.at(most, buckets[new], gram[new])
 
     def slices(self):
-        """(slot, packed counts) of what is not 0; slots number the slices of all tables."""
+        """(slot, places, counts) of what is not 0, packed; places is None for a slice of which much is not. Slots number the slices of all tables."""
         for n, table in enumerate(self.tables):
             for c, counts in enumerate(table):
                 for i, part in enumerate(np.split(counts, 1 if n == 0 else SLICES) if counts is not None else ()):
-                    if part.any():
-                        yield (n * len(table) + c) * SLICES + i, zlib.compress(part.tobytes(), 1)
-        yield -1, zlib.compress(self.total.tobytes(), 1)
+                    at = np.flatnonzero(part)
+                    slot = (n * len(table) + c) * SLICES + i
+                    if 8 * len(at) < len(part):
+                        if len(at):
+                            yield slot, _packed_bytes(at.astype(np.uint32)), _packed_bytes(part[at])
+                    else:
+                        yield slot, None, _packed_bytes(part)
+        yield -1, None, _packed_bytes(self.total)
 
-    def merge(self, slot: int, data: bytes) -> None:
-        part = _unpacked(slot, data)
+    def merge(self, slot: int, at: bytes | None, data: bytes) -> None:
         if slot < 0:
-            self.total += part
+            self.total += _unpacked(data, np.int64)
             return
         (n, c), i = divmod(slot // SLICES, len(KINDS) + 2), slot % SLICES
-        _join(self.table(n, c)[i * len(part) : (i + 1) * len(part)], part, slot)
+        whole = self.table(n, c)
+        size = len(whole) // (1 if n == 0 else SLICES)
+        _join(whole[i * size : (i + 1) * size], slot, at, data)
 
 
-def _greatest(slot: int) -> bool:
-    """Whether a slot is of the greatest n-grams."""
-    return slot >= 0 and slot // SLICES % (len(KINDS) + 2) == len(KINDS) + 1
+def _packed_bytes(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
 
 
-def _unpacked(slot: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=np.uint32 if _greatest(slot) else np.int64)
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=kind)
 
 
 #: Slices of a table, which are added up apart from each other.
 SLICES = 16
 
 
-def _join(into: np.ndarray, part: np.ndarray, slot: int) -> None:
-    """Adds counts up; of n-grams the greatest stays."""
-    if _greatest(slot):
-        np.maximum(into, part, out=into)
-    else:
-        into += part
+def _join(into: np.ndarray, slot: int, at: bytes | None, data: bytes) -> None:
+    """Adds a slice's counts up; of n-grams the greatest stays."""
+    greatest = slot >= 0 and slot // SLICES % (len(KINDS) + 2) == len(KINDS) + 1
+    values = _unpacked(data, np.uint32 if greatest else np.int64)
+    place = slice(None) if at is None else _unpacked(at, np.uint32)
+    # places of a slice are distinct
+    into[place] = np.maximum(into[place], values) if greatest else into[place] + values
+
+
+def _slice_of(slot: int) -> np.ndarray:
+    """An empty slice of a slot."""
+    n, c = divmod(slot // SLICES, len(KINDS) + 2)
+    size = 2 if slot < 0 else 64 if n == 0 else (1 << BITS) // SLICES
+    return np.zeros(size, dtype=np.uint32 if slot >= 0 and c == len(KINDS) + 1 else np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -572,6 +585,10 @@ def fit(texts: list[str]) -> Model:
     return _rounds(lambda model, turn: _tallied(_parts(texts), repeated, model, turn), len(texts))
 
 
+def _record(slot: int, at: bytes | None, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([at], pa.binary()), pa.array([data], pa.binary())], names=["slot", "places", "counts"])
+
+
 def fit_table(docs: DataFrame, text: str) -> Model:
     """The same from all documents of a table; each round reads it once, on at most two tasks a core."""
     context = docs.sparkSession.sparkContext
@@ -584,25 +601,21 @@ def fit_table(docs: DataFrame, text: str) -> Model:
 
         def count(batches):
             parts = (texts for batch in batches for _, _, texts in chunks(batch, "text", FIT_CHARS))
-            for slot, data in _tallied(parts, repeated.value, before.value, turn).slices():
-                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([data], pa.binary())], names=["slot", "data"])
+            for row in _tallied(parts, repeated.value, before.value, turn).slices():
+                yield _record(*row)
 
         def add(batches):
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    part = _unpacked(slot, data.as_py())
-                    if slot in sums:
-                        _join(sums[slot], part, slot)
-                    else:
-                        sums[slot] = part.copy()
+                for slot, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    _join(sums.setdefault(slot, _slice_of(slot)), slot, at, data)
             for slot, part in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["slot", "data"])
+                yield _record(slot, None, _packed_bytes(part))
 
-        form = "slot int, data binary"
+        form = "slot int, places binary, counts binary"
         out = Tally()
-        for slot, data in source.mapInArrow(count, form).repartition("slot").mapInArrow(add, form).toLocalIterator():
-            out.merge(slot, bytes(data))
+        for slot, at, data in source.mapInArrow(count, form).repartition("slot").mapInArrow(add, form).toLocalIterator():
+            out.merge(slot, at and bytes(at), bytes(data))
         before.destroy()
         return out
 
