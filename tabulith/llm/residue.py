@@ -41,6 +41,10 @@ ROUNDS = 4
 FIT_CHARS = 1_000_000
 ORDER = 5
 BITS = 20
+#: N-grams shorter than this many characters and one have buckets of their own.
+EXACT = 3
+#: Buckets of each order.
+SIZES = [1 << min(BITS, 6 * (n + 1)) for n in range(ORDER)]
 KINDS = ("filler", "notice", "slot")
 #: Window widths in characters, and the sum of log ratios from which a window is residue.
 WINDOWS = ((8, 20.0), (12, 24.0), (24, 30.0), (48, 38.0))
@@ -102,13 +106,8 @@ def _packed(symbols: np.ndarray) -> list[np.ndarray]:
 
 
 def _bucket(packed: np.ndarray, n: int) -> np.ndarray:
-    """Buckets of n-grams of n + 1 characters."""
-    return packed if n == 0 else (packed * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-
-
-def _grams(symbols: np.ndarray) -> list[np.ndarray]:
-    """Bucket of the n-gram that ends at each character, for n from 1 to ORDER."""
-    return [_bucket(p, n) for n, p in enumerate(_packed(symbols))]
+    """Buckets of n-grams of n + 1 characters; those of up to three have one each."""
+    return packed if n < EXACT else (packed * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
 def _units(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,32 +256,35 @@ class Model:
     ratio: list[np.ndarray]
     kinds: list[np.ndarray]
 
-    def score(self, symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        grams = _grams(symbols)
-        out = self.ratio[ORDER - 1][grams[ORDER - 1]].astype(np.float32)
+    def score(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log ratio of residue against prose of each character, and the packed n-gram that ends at it."""
+        longest = _packed(symbols)[-1]
+        out = self.ratio[ORDER - 1][_bucket(longest, ORDER - 1)]
+        missing = np.flatnonzero(out >= _MISS)
         for n in range(ORDER - 2, -1, -1):
-            missing = np.flatnonzero(out >= _MISS)
             if not len(missing):
                 break
-            out[missing] = self.ratio[n][grams[n][missing]]
-        out[out >= _MISS] = 0
-        return out, grams
-
-    def score_each(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Scores, buckets and symbols of texts end to end, each as if it stood alone."""
-        codes, starts = code_points(["\n" * ORDER + t for t in texts])
-        own = np.ones(len(codes), dtype=bool)
+            found = self.ratio[n][_bucket(longest[missing] & np.uint32((1 << 6 * (n + 1)) - 1), n)]
+            out[missing] = found
+            missing = missing[found >= _MISS]
+        out[missing] = 0
+        return out.astype(np.float32), longest
+
+    def score_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, packed n-grams and symbols of texts end to end, each as if it stood alone."""
+        symbols, starts = _glued(texts)
+        own = np.ones(len(symbols), dtype=bool)
         own[(starts[:-1, None] + np.arange(ORDER)).ravel()] = False
-        symbols = _symbols(codes)
-        scores, grams = self.score(symbols)
-        return scores[own], [g[own] for g in grams], symbols[own]
+        scores, longest = self.score(symbols)
+        return scores[own], longest[own], symbols[own]
 
-    def by_kind(self, grams: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    def by_kind(self, longest: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log ratio of each kind for the characters at the given places."""
-        out = self.kinds[ORDER - 1][grams[ORDER - 1][at]].astype(np.float32)
+        longest = longest[at]
+        out = self.kinds[ORDER - 1][_bucket(longest, ORDER - 1)].astype(np.float32)
         for n in range(ORDER - 2, -1, -1):
             missing = np.flatnonzero(out[:, 0] >= _MISS)
-            out[missing] = self.kinds[n][grams[n][at[missing]]]
+            out[missing] = self.kinds[n][_bucket(longest[missing] & np.uint32((1 << 6 * (n + 1)) - 1), n)]
         out[out >= _MISS] = 0
         return out
 
@@ -325,8 +327,7 @@ class Tally:
     """
 
     def __init__(self):
-        sizes = [64 if n == 0 else 1 << BITS for n in range(ORDER)]
-        self.tables: list[list[np.ndarray | None]] = [[np.zeros(size, dtype=np.int64), *[None] * len(KINDS), np.zeros(size, dtype=np.uint32)] for size in sizes]
+        self.tables: list[list[np.ndarray | None]] = [[np.zeros(size, dtype=np.int64), *[None] * len(KINDS), np.zeros(size, dtype=np.uint32)] for size in SIZES]
         #: Characters, and their weight.
         self.total = np.zeros(2, dtype=np.int64)
 
@@ -353,6 +354,8 @@ class Tally:
             self.note(n, packed[used], buckets[used])
 
     def note(self, n: int, packed: np.ndarray, buckets: np.ndarray) -> None:
+        if n < EXACT:
+            return
         most, gram = self.tables[n][-1], packed + np.uint32(1)
         new = np.flatnonzero(most[buckets] < gram)
         np.maximum.at(most, buckets[new], gram[new])
@@ -405,7 +408,7 @@ def _join(into: np.ndarray, slot: int, at: bytes | None, data: bytes) -> None:
 def _slice_of(slot: int) -> np.ndarray:
     """An empty slice of a slot."""
     n, c = divmod(slot // SLICES, len(KINDS) + 2)
-    size = 2 if slot < 0 else 64 if n == 0 else (1 << BITS) // SLICES
+    size = 2 if slot < 0 else SIZES[n] // (1 if n == 0 else SLICES)
     return np.zeros(size, dtype=np.uint32 if slot >= 0 and c == len(KINDS) + 1 else np.int64)
 
 
@@ -444,7 +447,7 @@ def _fit(tally: Tally, rows: int, found: Tally | None = None) -> Model:
         known = np.arange(64) if n == 0 else np.flatnonzero((prose > 0) | (every > 0))
         shorter = context = None
         if n:
-            gram = most[known] - np.uint32(1)
+            gram = known.astype(np.uint32) if n < EXACT else most[known] - np.uint32(1)
             shorter, context = _bucket(gram & np.uint32((1 << 6 * n) - 1), n - 1), _bucket(gram >> np.uint32(6), n - 1)
         plain = base.extend(prose, known, shorter, context)
         r = np.full(len(prose), _MISS, dtype=np.float16)
@@ -461,18 +464,20 @@ def _marked(scores: np.ndarray, starts: np.ndarray, windows: tuple = WINDOWS) ->
     """Whether each character lies in a residue window; windows stay within their text."""
     n = len(scores)
     sums = np.zeros(n + 1)
-    np.cumsum(scores, out=sums[1:])
+    sums[1:] = scores
+    np.cumsum(sums, out=sums)
+    room = np.empty(n + 1)
     cover = np.zeros(n + 1, dtype=np.int32)
     for width, least in windows:
         if n < width:
             continue
-        hit = np.flatnonzero(sums[width:] - sums[:-width] >= least)
+        hit = np.flatnonzero(np.subtract(sums[width:], sums[:-width], out=room[: n + 1 - width]) >= least)
         if len(hit):
             text = np.searchsorted(starts, hit, side="right")
             hit = hit[hit + width <= starts[text]]
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + width, -1)
-    inside = np.cumsum(cover[:-1]) > 0
+    inside = np.cumsum(cover[:-1], dtype=np.int32) > 0
     # starts holds the end of each text; texts shorter than any window count as a whole
     begins = np.concatenate([[0], starts[:-1]])
     sizes = starts - begins
@@ -533,7 +538,7 @@ def _count_found(tally: Tally, texts: list[str], repeated: Repeats, model: Model
     """Adds the texts in which the model finds residue: what they teach as prose, and their residue."""
     symbols, starts = _glued(texts)
     doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
-    scores, grams = model.score(symbols)
+    scores, longest = model.score(symbols)
     # no window runs over the lines between texts, so a text's neighbours do not matter
     scores[(starts[:-1, None] + np.arange(ORDER)).ravel()] = -1000
     at = np.flatnonzero(_marked(scores, starts[1:], FIRST if turn == 1 else WINDOWS))
@@ -541,7 +546,7 @@ def _count_found(tally: Tally, texts: list[str], repeated: Repeats, model: Model
         return
     # spans end with their text
     spans = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc_of[at], prepend=-1) > 0))
-    sums = np.add.reduceat(model.by_kind(grams, at), spans, axis=0)
+    sums = np.add.reduceat(model.by_kind(longest, at), spans, axis=0)
     kind = np.repeat(sums.argmax(axis=1), np.diff(np.append(spans, len(at))))
     found = [at[kind == k] for k in range(len(KINDS))]
     if turn > 1:
@@ -678,7 +683,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                 out = {"n_chars": np.diff(starts), "residue_chars": np.zeros(rows, dtype=np.int64)}
                 kind, start, first, near = [None] * rows, [None] * rows, [None] * rows, np.zeros(rows)
                 if len(codes):
-                    scores, grams, symbols = m.score_each(texts)
+                    scores, longest, symbols = m.score_each(texts)
                     marked = _marked(scores, starts[1:])
                     at = np.flatnonzero(_whole_words(marked, symbols, starts)) if marked.any() else np.zeros(0, np.int64)
                     if len(at):
@@ -688,7 +693,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                         row = np.searchsorted(starts, at, side="right") - 1
                         out["residue_chars"] = np.bincount(row, minlength=rows)
                         heads = np.flatnonzero(np.diff(row, prepend=-1) != 0)
-                        kinds = np.add.reduceat(m.by_kind(grams, at), heads, axis=0).argmax(axis=1)
+                        kinds = np.add.reduceat(m.by_kind(longest, at), heads, axis=0).argmax(axis=1)
                         ends = np.append(heads[1:], len(at))
                         for h, e, k in zip(heads, ends, kinds, strict=True):
                             r = row[h]
