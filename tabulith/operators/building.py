@@ -26,7 +26,12 @@ NEGATION = r"(?i)\b(no|not|neither|without)\b"
 NOT_SIGNIFICANT = r"(?i)\bnot (statistically )?significant(ly)?\b"
 SIGNIFICANTLY = r"(?i)\b(statistically )?significantly (higher|lower|greater|increased|decreased|improved|reduced|different|better|worse)\b"
 TIME = r"(?i)\b(\d+)(\s*|-)(weeks?|months?|days?|years?)\b"
+EXCLUDED_TOP_SECTIONS = r"(?i)result|discussion|conclusion|limitation|finding|summary|^outcomes?$"
 # End of fixed values.
+#: Characters of a part of a joined section, about.
+SECTION_CHARS = 1_000_000
+#: Neighbouring words by which the beginning of a claim is looked up.
+LEAK_WORDS = 4
 
 
 def build_norm(raw: Column) -> Column:
@@ -136,28 +141,63 @@ def perturbations(number: Column) -> Column:
     return F.filter(F.concat(swaps, moved), lambda c: ~c.rlike(r"^-?0\d"))
 
 
-def text_sections(paragraphs: DataFrame, by: list[str], order: str, text: str) -> DataFrame:
-    """Paragraphs of one section joined in order: (by, first, text, paragraphs)."""
-    g = paragraphs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("p"))
-    return g.select(*by, F.col("p")[0]["o"].alias("first"), F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"), F.size("p").alias("paragraphs"))
+def text_sections(paragraphs: DataFrame, by: list[str], order: str, text: str, chars: int = SECTION_CHARS) -> DataFrame:
+    """Paragraphs of one section joined in order: (by, part, first, text, paragraphs).
+
+    A section of more than `chars` characters comes in several parts, as one row must not
+    grow with the data; a paragraph stays whole. Null texts count as empty ones.
+    """
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length(F.coalesce(F.col(text), F.lit(""))) + 2
+    own = paragraphs.select(*by, F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / chars).cast("int").alias("part"))
+    g = own.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("p"))
+    return g.select(*by, "part", F.col("p")[0]["o"].alias("first"), F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"), F.size("p").alias("paragraphs"))
 
 
 def plain_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_.%]+", " "), r"\s+", " "))
 
 
+def _inner_words(plain: Column) -> Column:
+    """The words of a plain text that its ends do not cut."""
+    words = F.split(plain, " ")
+    return F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+
+
 def leaking(paragraphs: DataFrame, claims: DataFrame, key: str, group: str) -> DataFrame:
     """Keys of paragraphs that give away a claim of their group: by its beginning, or by half of its numbers.
 
     paragraphs: (key, group, text); claims: (claim_no, group, text). Both ways meet by
-    equality within the group: by numbers, or by the shortest piece that a beginning has.
+    equality within the group: by numbers, or by LEAK_WORDS neighbouring words out of the
+    middle of the beginning (the longest word of one that has fewer), and whole beginnings
+    are looked for only where these meet. Beginnings of less than three words, which have
+    no whole word inside, are looked for in every paragraph of their group. Claims without
+    a letter or digit give nothing away.
     """
     own = paragraphs.where("text is not null").select(key, group, plain_text(F.col("text")).alias("plain"), build_numbers(F.col("text")).alias("numbers"))
     asked = claims.where("text is not null").select("claim_no", group, F.substring(plain_text(F.col("text")), 1, LEAK_CHARS).alias("beginning"), build_informative(F.col("text")).alias("wanted"))
-    begins = own.select(key, group, "plain").join(asked.select(group, "beginning").distinct(), group).where(F.contains("plain", "beginning")).select(key)
+    inner = _inner_words(F.col("beginning"))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    begun = asked.where("beginning <> ''").select(group, "beginning", F.when(F.size(inner) >= LEAK_WORDS, F.array_join(F.slice(inner, 1, LEAK_WORDS), " ")).when(F.size(inner) > 0, longest).alias("piece"), F.size(inner).alias("n")).distinct()
+    words = F.split("plain", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - LEAK_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, LEAK_WORDS), " "))
+    pieces = own.select(key, group, F.explode(F.array_distinct(F.concat(runs, words))).alias("piece"))
+    met = pieces.join(begun.where("n > 0").select(group, "piece", "beginning"), [group, "piece"]).select(key, group, "beginning").distinct()
+    begins = met.join(own.select(key, group, "plain"), [key, group]).where(F.contains("plain", "beginning")).select(key)
+    short = own.select(key, group, "plain").join(begun.where("n = 0").select(group, "beginning"), group).where(F.contains("plain", "beginning")).select(key)
     places = own.select(group, F.col(key).alias("place"), F.explode(F.array_distinct("numbers")).alias("norm"))
     numeric = coverage(asked.where(F.size("wanted") >= NUMBERS_PER_CLAIM).select("claim_no", group, F.col("wanted").alias("numbers")), places, "claim_no", group, "place").where(F.col("coverage") >= LEAK_COVERAGE).select(F.col("place").alias(key))
-    return begins.unionByName(numeric).distinct()
+    return begins.unionByName(short).unionByName(numeric).distinct()
+
+
+def without_leaks(paragraphs: DataFrame, claims: DataFrame, key: str, group: str) -> DataFrame:
+    """The paragraphs that give no claim away and stand in no section that reports results.
+
+    paragraphs: (key, group, section, text). The section counts by the first name of its path.
+    """
+    top = F.split(F.coalesce("section", F.lit("")), " > ")[0]
+    kept = paragraphs.where(~top.rlike(EXCLUDED_TOP_SECTIONS))
+    return kept.join(leaking(kept, claims, key, group), key, "left_anti")
 
 
 def balanced(rows: DataFrame, kind: str, key: str, total: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -20,44 +21,35 @@ SUBTLE_RATIO = 0.85
 # End of fixed values.
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: the longest rising chain among the places at which words agree."""
+    where: dict[str, list[int]] = {}
+    for j, word in enumerate(b):
+        where.setdefault(word, []).append(j)
+    ends: list[int] = []
+    chains: list[tuple] = []
+    for i, word in enumerate(a):
+        # from the right, so that no word of a is used twice
+        for j in reversed(where.get(word, ())):
+            k = bisect_left(ends, j)
+            chain = (i, j, chains[k - 1] if k else None)
+            ends[k : k + 1], chains[k : k + 1] = [j], [chain]
+    out = []
+    chain = chains[-1] if chains else None
+    while chain:
+        out.append(chain[:2])
+        chain = chain[2]
+    return out[::-1]
+
+
 def _diff(before: str, after: str) -> str:
     """Words of both texts in order, what only the first has in [-...-], what only the second has in {+...+}."""
     a, b = before.split(), after.split()
-    # lengths of the longest common subsequence of all pairs of endings, row by row
-    table = [[0] * (len(b) + 1)]
-    for word in reversed(a):
-        below, row = table[-1], [0] * (len(b) + 1)
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if word == b[j] else max(below[j], row[j + 1])
-        table.append(row)
-    table.reverse()
-    steps: list[tuple[str, str]] = []
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            steps.append((" ", a[i]))
-            i, j = i + 1, j + 1
-        elif j < len(b) and (i == len(a) or table[i][j + 1] >= table[i + 1][j]):
-            steps.append(("+", b[j]))
-            j += 1
-        else:
-            steps.append(("-", a[i]))
-            i += 1
     out: list[str] = []
-    at = 0
-    while at < len(steps):
-        if steps[at][0] == " ":
-            out.append(steps[at][1])
-            at += 1
-            continue
-        stop = at
-        while stop < len(steps) and steps[stop][0] != " ":
-            stop += 1
-        for sign, shape in (("-", "[-{}-]"), ("+", "{{+{}+}}")):
-            words = [w for s, w in steps[at:stop] if s == sign]
-            if words:
-                out.append(shape.format(" ".join(words)))
-        at = stop
+    i = j = 0
+    for x, y in [*_common(a, b), (len(a), len(b))]:
+        out += [f"[-{' '.join(a[i:x])}-]"] * (x > i) + [f"{{+{' '.join(b[j:y])}+}}"] * (y > j) + a[x : x + 1]
+        i, j = x + 1, y + 1
     return " ".join(out)
 
 

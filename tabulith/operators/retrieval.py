@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ K1, B, FLOOR = 1.2, 0.7, 0.5
 WEIGHTS = {"text": 2.0, "context": 1.0}
 HITS = 8
 # End of fixed values.
-#: Queries of a block, chunks scored at a time, and queries up to which blocks are used.
-QUERY_BLOCK, CHUNK_BLOCK, BLOCKED_QUERIES = 256, 1000, 20_000
+#: Queries of a block, chunks scored at a time, and blocks whose results are kept in one plan.
+QUERY_BLOCK, CHUNK_BLOCK, BLOCKS_PER_PLAN = 256, 1000, 32
 
 
 def chunks(sections: DataFrame, studies: DataFrame) -> DataFrame:
@@ -31,54 +33,65 @@ def chunks(sections: DataFrame, studies: DataFrame) -> DataFrame:
     return titled.select("section_id", "doc_id", "label", context.alias("context"), F.posexplode("parts").alias("chunk_no", "text"))
 
 
-def search(queries: DataFrame, query_key: str, query_text: str, chunk_rows: DataFrame, limit: int = HITS, block: int = QUERY_BLOCK, most: int = BLOCKED_QUERIES) -> DataFrame:
+def search(queries: DataFrame, query_key: str, query_text: str, chunk_rows: DataFrame, limit: int = HITS, block: int = QUERY_BLOCK, document: str | None = None) -> DataFrame:
     """(query, section_id, chunk_no, score, place): the best chunks by BM25 over text (twice) and context.
 
     A chunk needs one term of the query; scores are multiplied by the number of the query's
     terms that it holds. Frequencies come from all chunks. Of each query the best `limit`
     chunks are kept, ties in the order of section and chunk. Queries with a null key or
-    without terms have no hits.
+    without terms have no hits. document: a column of queries with the id of the document
+    that a query is limited to; a null one is not limited.
 
     The stated queries go through all chunks in blocks: a batch of chunks is scored for a
-    block of queries at once, and only the best of a batch leave it. More than `most`
-    queries are met by term in a shuffled join instead.
+    block of queries at once, and only the best of a batch leave it. Of the queries one
+    block at a time is on the driver, whatever their number.
     """
-    asked = queries.select(F.col(query_key).alias("query"), F.array_distinct(X.terms(F.col(query_text))).alias("terms")).where("query is not null and size(terms) > 0")
+    within = F.col(document).cast("string") if document else F.lit(None).cast("string")
+    asked = queries.select(F.col(query_key).alias("query"), within.alias("doc"), F.array_distinct(X.terms(F.col(query_text))).alias("terms")).where("query is not null and size(terms) > 0")
     # terms are made once; frequencies, lengths and scores all read them
-    tokens = cut(chunk_rows.select("section_id", "chunk_no", *(X.terms(F.coalesce(c, F.lit(""))).alias(c) for c in WEIGHTS)))
+    tokens = cut(chunk_rows.select("section_id", "chunk_no", *(X.terms(F.coalesce(c, F.lit(""))).alias(c) for c in WEIGHTS), F.col("doc_id").cast("string").alias("doc")))
     sizes = tokens.agg(F.count("*"), *(F.sum(F.size(F.array_distinct(c))) for c in WEIGHTS)).first()
     fields = {c: (sizes[0], (sizes[i] or 0) / max(1, sizes[0])) for i, c in enumerate(WEIGHTS, 1)}
-    rows = asked.limit(most + 1).collect()
-    if len(rows) > most:
-        hits = _by_join(asked.select("query", F.explode("terms").alias("term")), tokens, fields)
-    else:
-        hits = None
-        for at in range(0, max(1, len(rows)), block):
-            part = _by_block([(r["query"], r["terms"]) for r in rows[at : at + block]], asked.schema["query"].dataType.simpleString(), tokens, fields, limit)
-            hits = part if hits is None else hits.unionByName(part)
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    frequency = None
+    for column in WEIGHTS:
+        one = tokens.select(F.explode(F.array_distinct(column)).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias(column))
+        frequency = one if frequency is None else frequency.join(one, "term", "full")
+    known = cut(asked.select("query", "doc", F.explode("terms").alias("term")).join(frequency, "term").groupBy("query", "doc").agg(F.collect_list(F.struct("term", *WEIGHTS)).alias("terms")))
+    kind = asked.schema["query"].dataType.simpleString()
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "section_id", "chunk_no"))
+    done, held = [], []
+    rows = known.toLocalIterator()
+    while part := list(itertools.islice(rows, block)):
+        held.append(_by_block(part, kind, tokens, fields, limit))
+        if len(held) == BLOCKS_PER_PLAN:
+            done.append(cut(reduce(DataFrame.unionByName, held)))
+            held = []
+    every = [*done, *held] or [_by_block([], kind, tokens, fields, limit)]
+    hits = reduce(DataFrame.unionByName, every)
     return hits.withColumn("place", place).where(F.col("place") <= limit).select("query", "section_id", "chunk_no", "score", "place")
 
 
 def _by_block(rows: list[tuple], kind: str, tokens: DataFrame, fields: dict[str, tuple[int, float]], limit: int) -> DataFrame:
     """The best `limit` chunks of each batch for each of the queries."""
     spark = tokens.sparkSession
-    number = {t: i for i, t in enumerate(sorted({t for _, terms in rows for t in terms}))}
-    wanted = F.broadcast(spark.createDataFrame([(t,) for t in number], "term string"))
+    number = {t: i for i, t in enumerate(sorted({t["term"] for r in rows for t in r["terms"]}))}
     idf = {}
     for column, (total, _) in fields.items():
-        df = tokens.select(F.explode(F.array_distinct(column)).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("df")).collect()
         weights = np.zeros(len(number))
-        for r in df:
-            weights[number[r["term"]]] = math.log(1 + (total - r["df"] + 0.5) / (r["df"] + 0.5))
+        for r in rows:
+            for t in r["terms"]:
+                df = t[column] or 0
+                weights[number[t["term"]]] = math.log(1 + (total - df + 0.5) / (df + 0.5))
         idf[column] = weights
     holds = np.zeros((len(number), len(rows)))
-    for q, (_, terms) in enumerate(rows):
-        holds[[number[t] for t in terms], q] = 1.0
-    shared = spark.sparkContext.broadcast((number, idf, holds, {c: max(a, 1e-9) for c, (_, a) in fields.items()}))
+    for q, r in enumerate(rows):
+        holds[[number[t["term"]] for t in r["terms"]], q] = 1.0
+    within = [r["doc"] for r in rows]
+    shared = spark.sparkContext.broadcast((number, idf, holds, {c: max(a, 1e-9) for c, (_, a) in fields.items()}, within))
 
     def scan(batches):
-        number, idf, holds, average = shared.value
+        number, idf, holds, average, within = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, CHUNK_BLOCK):
                 part = batch.slice(lo, CHUNK_BLOCK)
@@ -97,6 +110,11 @@ def _by_block(rows: list[tuple], kind: str, tokens: DataFrame, fields: dict[str,
                     gain += np.where(tf > 0, weight * idf[column] * (FLOOR + tf * (K1 + 1) / (tf + norm[:, None])), 0.0)
                     held = np.maximum(held, tf > 0)
                 matched = held @ holds
+                if any(w is not None for w in within):
+                    docs = np.array(part.column(4).to_pylist(), dtype=object)
+                    for q, w in enumerate(within):
+                        if w is not None:
+                            matched[docs != w, q] = 0
                 score = np.round(gain @ holds * matched, 6)
                 sections, chunk_nos = np.asarray(part.column(0)), np.asarray(part.column(1))
                 out_q, out_i = [], []
@@ -109,22 +127,5 @@ def _by_block(rows: list[tuple], kind: str, tokens: DataFrame, fields: dict[str,
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int32()), part.column(0).take(pick), part.column(1).take(pick), pa.array(score[out_i, out_q] if out_i else np.zeros(0))], names=["q", "section_id", "chunk_no", "score"])
 
     hits = tokens.mapInArrow(scan, f"q int, section_id {tokens.schema['section_id'].dataType.simpleString()}, chunk_no int, score double")
-    names = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(rows)], f"q int, query {kind}")
+    names = spark.createDataFrame([(i, r["query"]) for i, r in enumerate(rows)], f"q int, query {kind}")
     return hits.join(F.broadcast(names), "q").select("query", "section_id", "chunk_no", "score")
-
-
-def _by_join(asked: DataFrame, tokens: DataFrame, fields: dict[str, tuple[int, float]]) -> DataFrame:
-    """As _by_block for any number of queries; a term's postings meet its queries in a shuffle."""
-    key = ["section_id", "chunk_no"]
-    scored = None
-    for column, weight in WEIGHTS.items():
-        total, average = fields[column]
-        words = F.col(column)
-        postings = tokens.select(*key, F.explode(words).alias("term"), F.size(F.array_distinct(words)).alias("length")).groupBy(*key, "term", "length").agg(F.count("*").alias("tf"))
-        frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        gain = idf * (FLOOR + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(max(average, 1e-9)))))
-        met = asked.join(frequency, "term").join(postings, "term").select("query", *key, "term", (gain * weight).alias("gain"))
-        scored = met if scored is None else scored.unionByName(met)
-    hits = scored.groupBy("query", *key).agg(F.sum("gain").alias("gain"), F.countDistinct("term").alias("matched"))
-    return hits.select("query", *key, F.round(F.col("gain") * F.col("matched"), 6).alias("score"))

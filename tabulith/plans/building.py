@@ -66,7 +66,7 @@ def heading_sections(spark, sf):
     """Documents of one paper and heading joined in order of their ids."""
     d = table(spark, sf, "documents").where("paper_id is not null").select("paper_id", F.coalesce("heading", F.lit("Body")).alias("heading"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     s = G.text_sections(d, ["paper_id", "heading"], "doc_id", "text")
-    return s.select("paper_id", "heading", F.col("first").alias("first_doc"), "paragraphs", F.md5("text").alias("text_md5"))
+    return s.select("paper_id", "heading", "part", F.col("first").alias("first_doc"), "paragraphs", F.md5("text").alias("text_md5"))
 
 
 def leaking_documents(spark, sf):
@@ -124,14 +124,15 @@ SQL = {
         x AS (SELECT item_no, CASE WHEN len(hits) = 1 AND NOT neg THEN regexp_replace(claim, '(?i)\b({_WORDS})\b', CASE WHEN regexp_matches(hits[1], '^[A-Z]') THEN upper(o[1]) || o[2:] ELSE o END) END AS direction,
           CASE WHEN len(regexp_extract_all(claim, '{G.NOT_SIGNIFICANT}')) = 1 THEN regexp_replace(claim, '{G.NOT_SIGNIFICANT}', '\1significant\2') WHEN len(regexp_extract_all(claim, '{G.SIGNIFICANTLY}')) = 1 THEN regexp_replace(claim, '{G.SIGNIFICANTLY}', 'not \1significantly \2') END AS significance FROM f)
         SELECT * FROM x WHERE direction IS NOT NULL OR significance IS NOT NULL""",
-    "heading_sections": """
-        SELECT paper_id, coalesce(heading, 'Body') AS heading, min(doc_id) AS first_doc, CAST(count(*) AS INT) AS paragraphs, md5(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id)) AS text_md5
-        FROM documents WHERE paper_id IS NOT NULL GROUP BY 1, 2""",
+    "heading_sections": f"""
+        WITH p AS (SELECT paper_id, coalesce(heading, 'Body') AS heading, doc_id, coalesce(text, '') AS t,
+          coalesce(sum(length(coalesce(text, '')) + 2) OVER (PARTITION BY paper_id, coalesce(heading, 'Body') ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents WHERE paper_id IS NOT NULL)
+        SELECT paper_id, heading, CAST(b // {G.SECTION_CHARS} AS INT) AS part, min(doc_id) AS first_doc, CAST(count(*) AS INT) AS paragraphs, md5(string_agg(t, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5 FROM p GROUP BY 1, 2, 3""",
     "leaking_documents": f"""
         WITH {T["items"]}, c AS (SELECT item_no, source_paper AS paper_id, coalesce(nullif(original_claim, ''), claim) AS text FROM items WHERE source_paper IS NOT NULL),
         d AS (SELECT doc_id, paper_id, {_PLAIN.format("text")} AS plain, {_BN.format("text")} AS ns FROM documents WHERE paper_id IS NOT NULL AND text IS NOT NULL),
         a AS (SELECT item_no, paper_id, left({_PLAIN.format("text")}, 80) AS beginning, {_BI.format("text")} AS w FROM c WHERE text IS NOT NULL)
-        SELECT DISTINCT doc_id FROM d JOIN a USING (paper_id) WHERE contains(plain, beginning) OR (len(w) >= 2 AND len(list_filter(w, lambda x: list_contains(ns, x))) / len(w) >= 0.5)""",
+        SELECT DISTINCT doc_id FROM d JOIN a USING (paper_id) WHERE (beginning <> '' AND contains(plain, beginning)) OR (len(w) >= 2 AND len(list_filter(w, lambda x: list_contains(ns, x))) / len(w) >= 0.5)""",
     "balanced_sample": f"""
         WITH {T["items"]}, good AS (SELECT item_no, label, error_type FROM items WHERE label = 'supported' ORDER BY item_no LIMIT 50),
         bad AS (SELECT item_no, label, error_type, row_number() OVER (PARTITION BY error_type ORDER BY item_no) AS turn FROM items WHERE label <> 'supported' ORDER BY turn, error_type NULLS FIRST, item_no LIMIT 50)

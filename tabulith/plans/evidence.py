@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions import numbers as N
 from tabulith.functions import text as X
+from tabulith.operators import evidence as E
 from tabulith.operators import resolving as R
 from tabulith.operators import retrieval as I
 from tabulith.session import table
@@ -33,16 +34,9 @@ def number_index(spark, sf):
 
 
 def suggest_sources(spark, sf):
-    """Sections that hold every informative number of a claim; see operators' text for the choice."""
-    claims = items(spark, sf).select("item_no", F.col("source_paper").alias("own"), F.transform(N.informative(F.col("claim")), lambda n: N.unsigned(n["norm"])).alias("numbers"))
-    claims = claims.withColumn("numbers", F.array_distinct("numbers")).where(F.size("numbers") > 0)
-    asked = claims.select("item_no", "own", F.size("numbers").alias("n"), F.explode("numbers").alias("norm"))
-    met = asked.join(section_numbers(spark, sf), "norm").groupBy("item_no", "own", "n", "doc_id", "label").agg(F.count("*").alias("held")).where("held = n")
-    place = F.concat_ws(", ", "doc_id", "label")
-    own = F.coalesce(F.col("doc_id") == F.col("own"), F.lit(False))
-    picked = met.groupBy("item_no", "n").agg(F.array_sort(F.collect_set(F.when(own, place))).alias("mine"), F.array_sort(F.collect_set(place)).alias("all_places"))
-    pick = F.when(F.size("mine") > 0, F.col("mine")).when(F.col("n") >= 2, F.col("all_places")).otherwise(F.array().cast("array<string>"))
-    return picked.withColumn("pick", pick).where((F.size("pick") > 0) & (F.size("pick") <= 3)).select("item_no", F.array_join("pick", "; ").alias("suggestions"))
+    """Sections that hold every informative number of a claim; see operators.evidence for the choice."""
+    claims = items(spark, sf).select("item_no", F.col("source_paper").alias("own"), "claim")
+    return E.suggest(claims, section_numbers(spark, sf), "item_no").select("item_no", F.array_join("pick", "; ").alias("suggestions"))
 
 
 def _targets(spark, sf):
@@ -66,13 +60,13 @@ def code_decided(spark, sf):
 def quote_grounding(spark, sf):
     """Whether each record's quote stands in its item's section."""
     quotes = records(spark, sf).select("rec_id", "item_id", F.col("result.quote").alias("quote")).where("quote is not null")
-    t = _targets(spark, sf).select(F.col("id").alias("item_id"), "text")
-    return quotes.join(t, "item_id").select("rec_id", X.grounded(F.col("quote"), F.col("text")).alias("grounded"))
+    return E.ground_quotes(quotes, _targets(spark, sf).select(F.col("id").alias("item_id"), "text"), "rec_id", "item_id")
 
 
 def term_counts(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(X.terms(F.col("text"))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("doc_id").alias("df"))
+    # counted within each document first, so a document has one row for a term
+    words = table(spark, sf, "documents").select("doc_id", F.explode(X.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return words.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 
 def chunk_rows(spark, sf):

@@ -19,7 +19,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     A cluster names it in spark.checkpoint.dir, which is used as it stands. Only where
-    that setting is missing (tests, one machine) a folder of this process is made.
+    that setting is missing (tests, one machine) a folder of this process is made; a
+    cluster without it is refused, as machines would write to their own disks.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
@@ -28,6 +29,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tabulith-checkpoints"))
     return context.getCheckpointDir()
 

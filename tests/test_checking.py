@@ -147,19 +147,23 @@ def test_papers_and_paragraphs(spark, tmp_path):
     assert rows(files.read_paragraphs(spark, str(tmp_path / "s.txt")).select("paragraph_no", "text")) == [(0, "One."), (1, "Two\nlines.")]
 
 
-XML = """<article><front><article-title>A <i>good</i> title</article-title><abstract><p>Short text.</p></abstract></front><body><sec><title>Results</title><p>Seen in <xref>Table 1</xref> all.<table-wrap><label>Table 1</label></table-wrap> Tail.</p>
-<sec><title>Safety</title><p>Fine.</p></sec></sec><table-wrap><label>Table 2.</label><caption><p>Caption</p></caption><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td/></tr><tr><td/><td/></tr></table><table-wrap-foot><p>foot</p></table-wrap-foot></table-wrap></body>
-<back><ref id="r1"><surname>Roe</surname><surname>Poe</surname><surname>Doe</surname><year>2020</year><pub-id pub-id-type="pmcid">77</pub-id></ref></back></article>"""
+XML = """<article><front><article-meta><title-group><article-title>A <i>good</i> title</article-title></title-group><abstract abstract-type="lay"><p>Lay.</p></abstract><abstract><p>Short text 4.5.</p></abstract></article-meta></front><body><sec><title>Results</title><p>Seen in <xref>Table 1</xref> all.<table-wrap><label>Table 1</label></table-wrap> Tail.</p>
+<sec><title>Safety</title><p>Fine (Smith et al. 2020)<xref ref-type="bibr" rid="r1 r2">[1-3]</xref>. New one <xref ref-type="bibr" rid="r2">2</xref> here.</p></sec></sec><table-wrap><label>Table 2.</label><caption><p>Caption</p></caption><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td/></tr><tr><td/><td/></tr></table><table-wrap-foot><p>foot</p></table-wrap-foot></table-wrap></body>
+<back><ref id="r1"><surname>Roe</surname><surname>Poe</surname><surname>Doe</surname><year>2020</year><pub-id pub-id-type="pmcid">77</pub-id></ref><ref id="r2"><collab>Big Group</collab><year>2019a</year><pub-id pub-id-type="pmid">5</pub-id></ref><ref id="r3"><surname>Solo</surname></ref></back></article>"""
 
 
 def test_markup(spark):
     df = spark.createDataFrame([("a", XML), ("b", "<broken"), ("c", None)], "id string, xml string")
     got = {r["id"]: r for r in markup.parse_papers(df).collect()}
-    assert got["a"]["title"] == "A good title" and [t["number"] for t in got["a"]["tables"]] == [1, 2]
-    assert got["a"]["tables"][1]["rows"] == ["a | b", "1 | "] and got["a"]["tables"][1]["foot"] == "foot"
-    assert [(p["section"], p["text"]) for p in got["a"]["paragraphs"]] == [("Abstract", "Short text."), ("Results", "Seen in Table 1 all. Tail."), ("Results > Safety", "Fine.")]
-    assert got["b"]["tables"] == [] and got["c"]["paragraphs"] == []
-    assert rows(markup.references(df)) == [("a", "r1", "PMC77", None, None, "Roe et al. 2020")]
+    assert got["a"]["title"] == "A good title" and [t["number"] for t in got["a"]["tables"]] == [2]
+    assert got["a"]["tables"][0]["rows"] == ["a | b", "1 | "] and got["a"]["tables"][0]["foot"] == "foot"
+    assert [p["section"] for p in got["a"]["paragraphs"]] == ["Results", "Results > Safety"] and got["a"]["paragraphs"][0]["text"] == "Seen in Table 1 all. Tail."
+    assert set(got) == {"a"}
+    assert rows(markup.references(df)) == [("a", "r1", "PMC77", None, None, "Roe et al. 2020"), ("a", "r2", None, "5", None, "Big Group 2019"), ("a", "r3", None, None, None, None)]
+    cited = rows(markup.cited_sentences(df).select("section", "sentence", "ref_ids"))
+    assert ("Results > Safety", "Fine (Smith et al. 2020).", ["<range>", "r1", "r2"]) in cited and ("Results > Safety", "New one here.", ["r2"]) in cited
+    units = {(r["kind"], r["label"]): r["text"] for r in markup.evidence_units(df).collect()}
+    assert units["abstract", "Abstract"] == "Short text 4.5." and units["table", "Table 2"].startswith("Caption a | b") and units["title", ""] == "A good title"
     page = spark.createDataFrame([("<html><script>x<y</script><p>One &amp; <b>two</b></p><p>three</p></html>",), (None,)], "h string")
     assert [r[0] for r in page.select(markup.html_text(F.col("h"))).collect()] == ["One & two\nthree", None]
 

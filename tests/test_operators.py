@@ -83,9 +83,26 @@ def test_search_ranks(spark, store):
     chunks = I.chunks(sections, studies)
     assert chunks.count() == 5
     q = spark.createDataFrame([(1, "rare 12.5"), (2, "unknownterm"), (3, None)], "q int, t string")
-    for most in (0, 100):
-        hits = I.search(q, "q", "t", chunks, limit=2, most=most).collect()
-    assert [(r["query"], r["section_id"], r["chunk_no"], r["place"]) for r in hits] == [(1, 1, 1, 1)]
+    assert [(r["query"], r["section_id"], r["chunk_no"], r["place"]) for r in I.search(q, "q", "t", chunks, limit=2).collect()] == [(1, 1, 1, 1)]
+    many = spark.createDataFrame([(i, "common words" if i % 2 else "rare 12.5 common", ["PMC1", "CSR-XY1", None][i % 3]) for i in range(70)], "q int, t string, d string")
+    whole, split = (rows(I.search(many, "q", "t", chunks, limit=2, block=b, document="d")) for b in (256, 2))
+    assert whole == split and {r[0] % 3 for r in whole} == {0, 2} and len(whole) > 60
+    assert I.search(q.limit(0), "q", "t", chunks).count() == 0
+
+
+def test_sections_by_pasted_lines(spark):
+    """By label, by heading, by the longest label that a pasted line begins with; never Table 1 for Table 12 or 1.2."""
+    sections = spark.createDataFrame([(1, "D", 0, "Table 1", "Base", "table", "a"), (2, "D", 1, "Table 14", "More", "table", "b"), (3, "D", 2, "Results", "Table 9", "text", "c"), (4, "D", 3, "Results > Safety", "Harms", "text", "d"), (5, "D", 4, "Table 1", "Base", "table", "again"), (6, "E", 0, "Table 1", "x", "table", "e"), (7, "D", 5, "", None, "text", "f")], SECTIONS)
+    cases = {"Table 1: caption of it": 1, "table  1 (page 2)": 1, "Table 14.2.1": None, "Table 1a": None, "Table 12": None, "Harms": 4, "Table 9": 3, "Results > Safety > Deaths": 4, "Results, first part": 3, "": None, "Table 1. Base": 1, "\"Table 14\", row 2": 2}
+    wanted = spark.createDataFrame([("D", k) for k in cases], "doc_id string, label string")
+    assert {r["label"]: r["section_id"] for r in R.find_sections(wanted, sections).collect()} == cases
+
+
+def test_names_of_any_length(spark):
+    long = "A very long trial name of more than ten separate words 2031"
+    studies = spark.createDataFrame([("CSR-1", "t", [long, None]), ("CSR-2", "t", None)], "id string, title string, aliases array<string>")
+    cited = spark.createDataFrame([(1, f"see {long}, Table 2"), (2, "CSR 2"), (3, None), (4, "very long trial")], "k int, c string")
+    assert rows(R.match_documents(cited, "k", "c", studies)) == [(1, "CSR-1"), (2, "CSR-2")]
 
 
 TABLE = "Event | Drug (N=50) | Placebo (N=40)\nA | 10 (20.0) | 4 (10.0)\nB | 5 (10.0) | 8 (20.0)\nC | 25 (50.0) | 2 (5.0)\nD | 6 (19.0) | 10 (25.0)\n\nNotes: E | 1 (90.0) | 1 (90.0)"
@@ -166,3 +183,26 @@ def test_leaks_of_claims(spark):
     paragraphs = spark.createDataFrame([(1, "p", "We saw 12.5 and 40.1 points in all."), (2, "p", "Nothing here"), (3, "q", "We saw 12.5 and 40.1 points"), (4, "p", None)], "doc_id int, paper string, text string")
     claims = spark.createDataFrame([(1, "p", "The means were 12.5 and 40.1."), (2, "p", None)], "claim_no int, paper string, text string")
     assert rows(G.leaking(paragraphs, claims, "doc_id", "paper")) == [(1,)]
+
+
+def test_leaks_meet_by_words(spark):
+    """Beginnings of any number of words, against looking for each in every paragraph."""
+    import itertools
+
+    texts = ["The mean score rose by 12.5 points in the treated group and fell later", "alpha beta", "gamma", "one two three", "", "x!", None, "rose by 12.5"]
+    paragraphs = [(i, "p", f"Before {t or ''} after." if i % 2 else t) for i, t in enumerate(texts)] + [(50, "q", texts[0]), (51, "p", "xone two threex"), (52, "p", "the MEAN, score rose by 12.5 points; in the treated group and fell later on")]
+    df = spark.createDataFrame(paragraphs, "k int, g string, text string")
+    claims = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "claim_no int, g string, text string")
+    plain = {r["k"]: r["p"] for r in df.select("k", G.plain_text(F.col("text")).alias("p")).collect()}
+    begin = [r["p"][:80] for r in claims.select(G.plain_text(F.col("text")).alias("p")).collect() if r["p"]]
+    want = {k for (k, g, _), b in itertools.product(paragraphs, begin) if g == "p" and plain[k] is not None and b in plain[k]}
+    assert {r["k"] for r in G.leaking(df, claims, "k", "g").collect()} == want and 52 in want and 50 not in want
+    kept = df.withColumn("section", F.when(F.col("k") == 51, F.lit("Results > x")).otherwise(F.lit("Methods")))
+    assert {r["k"] for r in G.without_leaks(kept, claims, "k", "g").collect()} == set(plain) - want - {51}
+
+
+def test_long_sections_come_in_parts(spark):
+    df = spark.createDataFrame([("a", i, "x" * 40 if i != 3 else None) for i in range(10)], "s string, o int, t string")
+    parts = G.text_sections(df, ["s"], "o", "t", chars=100).orderBy("part").collect()
+    assert [r["first"] for r in parts] == sorted(r["first"] for r in parts) and len(parts) > 2 and sum(r["paragraphs"] for r in parts) == 10
+    assert "\n\n".join(r["text"] for r in parts) == "\n\n".join("x" * 40 if i != 3 else "" for i in range(10))
