@@ -7,12 +7,14 @@ are the same on every run and spread over the candidates.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.numbers import let
 from tabulith.operators import building as G
+from tabulith.session import cut
 
 # What stands before a number that is no group value, how far two values of an
 # arm mix-up may be apart, and how far a missing table's number is moved.
@@ -134,8 +136,8 @@ def wrong_targets(items: DataFrame, places: DataFrame, key: str) -> DataFrame:
     citations hold less than OTHER_COVERAGE of the claim's numbers; another paper's table has
     the same label. Missing tables are numbered beyond the last one.
 
-    Other papers are not tried one by one: tables of a label are ordered by hash, and the
-    first ones after an item's own hash are looked at until one of a bounded number fits.
+    Other papers are not all tried on every item: tables of a label stand in buckets by hash,
+    and an item looks at one bucket after the other until a table fits.
     """
     share = F.size(F.filter("numbers", lambda n: F.array_contains("norms", n))) / F.size("numbers")
     tables = places.select("doc_id", "label", "norms")
@@ -148,22 +150,25 @@ def wrong_targets(items: DataFrame, places: DataFrame, key: str) -> DataFrame:
     return location.unionByName(missing).unionByName(_wrong_studies(asked, tables, key, share))
 
 
-#: Buckets of a label's tables, and tables of a bucket that an item looks at.
-STUDY_BUCKETS = 64
+#: Tables of a label that an item looks at in one round, about.
 STUDY_TRIES = 8
 
 
 def _wrong_studies(asked: DataFrame, tables: DataFrame, key: str, share: Column) -> DataFrame:
-    from pyspark.sql import Window
-
-    size = tables.groupBy("label").agg(F.count("*").alias("tables"))
-    buckets = F.greatest(F.lit(1), F.least(F.lit(STUDY_BUCKETS), F.floor(F.col("tables") / STUDY_TRIES))).cast("int")
-    hashed = F.xxhash64("doc_id", "label")
-    offered = tables.join(size, "label").withColumn("bucket", F.pmod(hashed, buckets)).withColumn("rn", F.row_number().over(Window.partitionBy("label", "bucket").orderBy(hashed))).where(F.col("rn") <= STUDY_TRIES)
-    offered = offered.select("label", "bucket", F.col("doc_id").alias("other"), "norms")
-    mine = asked.select(key, "doc_id", "label", "numbers").join(size, "label").withColumn("bucket", F.pmod(F.xxhash64(key, F.lit("study")), buckets))
-    met = mine.join(offered, ["label", "bucket"]).where((F.col("other") != F.col("doc_id")) & (share < G.OTHER_COVERAGE))
-    return met.groupBy(key, "label").agg(F.min_by("other", F.xxhash64(F.col(key), F.col("other"))).alias("doc_id")).select(key, F.lit("wrong_study").alias("kind"), "doc_id", "label")
+    """Round by round the next bucket of a label's tables, until every item has one that fits or has seen all."""
+    size = tables.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / STUDY_TRIES)).cast("int").alias("buckets"))
+    offered = tables.join(size, "label").select("label", F.pmod(F.xxhash64("doc_id", "label"), "buckets").alias("bucket"), F.col("doc_id").alias("other"), "norms")
+    open_ = cut(asked.select(key, "doc_id", "label", "numbers").join(size, "label"))
+    done, turn = [], 0
+    while not open_.isEmpty():
+        mine = open_.withColumn("bucket", F.pmod(F.xxhash64(key, F.lit("study")) + turn, "buckets"))
+        met = mine.join(offered, ["label", "bucket"]).where((F.col("other") != F.col("doc_id")) & (share < G.OTHER_COVERAGE))
+        found = cut(met.groupBy(key, "label").agg(F.min_by("other", F.xxhash64(F.col(key), F.col("other"))).alias("doc_id")))
+        done.append(found)
+        turn += 1
+        open_ = cut(open_.join(found.select(key), key, "left_anti").where(F.col("buckets") > turn))
+    empty = asked.select(key, "label", "doc_id").limit(0)
+    return reduce(DataFrame.unionByName, done, empty).select(key, F.lit("wrong_study").alias("kind"), "doc_id", "label")
 
 
 def changed_ids(ids: DataFrame, key: str, taken: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def findings(sections: DataFrame) -> DataFrame:
     """(section_id, doc_id, label, code, severity, row_no) of all audits of tables."""
     percent, interval = V.percent_findings(sections), V.interval_findings(sections)
     own = sections.select("section_id", "doc_id", "label")
-    both = percent.select("section_id", F.lit("percent_mismatch").alias("code"), "severity", "row_no").unionByName(interval.select("section_id", "code", "severity", "row_no"))
+    both = percent.select("section_id", F.lit("percent_mismatch").alias("code"), "severity", "row_no").unionByName(interval.select("section_id", "code", F.lit("major").alias("severity"), "row_no"))
     return both.join(own, "section_id").select("section_id", "doc_id", "label", "code", "severity", "row_no")
 
 

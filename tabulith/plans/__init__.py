@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scoring", "evidence", "review", "building", "streams")
+_MODULES = ("scoring", "evidence", "review", "building", "streams", "testsets", "reports")
 
 
 def _merged(name: str) -> dict:

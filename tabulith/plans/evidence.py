@@ -197,4 +197,19 @@ SQL = {
           CAST(CASE WHEN r.doc_id IS NULL THEN 0 WHEN t IS NULL THEN coalesce(w.n, 0) WHEN s.s IS NULL THEN 0 ELSE s.s.n END AS BIGINT) AS body_chars,
           CASE WHEN r.doc_id IS NULL AND NOT regexp_matches(coalesce(citation, ''), 'PMC\\d|CSR') THEN 'names no document' WHEN r.doc_id IS NULL THEN 'unknown document' WHEN t IS NOT NULL AND s.s IS NULL THEN 'no such table' END AS problem
         FROM r LEFT JOIN s ON s.doc_id = r.doc_id AND s.k = {_LABEL.format("'Table ' || t")} LEFT JOIN w ON w.doc_id = r.doc_id""",
+    "page_counts": f"""
+        WITH {T["sections"]}, l AS (SELECT section_id, flatten(list_transform(string_split(text, chr(10)), lambda l: list_transform(range(0, greatest((length(l) - 1) // 800, 0) + 1), lambda i: l[i * 800 + 1:i * 800 + 800]))) AS ps FROM sections),
+        p AS (SELECT section_id, string_split(list_reduce(list_prepend('', ps), lambda acc, x: CASE WHEN length(split_part(acc, chr(12), -1)) > 0 AND length(split_part(acc, chr(12), -1)) + 1 + length(x) > 800 THEN acc || chr(12) || x
+              WHEN length(split_part(acc, chr(12), -1)) > 0 THEN acc || chr(10) || x ELSE acc || x END), chr(12)) AS pages FROM l)
+        SELECT section_id, CAST(len(pages) AS INT) AS pages, CAST(length(pages[1]) AS INT) AS first_chars, CAST(length(pages[-1]) AS INT) AS last_chars FROM p""",
+    "sentence_split": rf"""
+        WITH m AS (SELECT doc_id, regexp_replace(text, '(?i)(^|[^A-Za-z0-9_])({"|".join(a.replace(".", chr(92) + ".") for a in X.ABBREVIATIONS)})\.(\s+)((?-i)[A-Z(\[])', '\1\2' || chr(1) || '\3\4', 'g') AS t FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])(\s+[A-Z(\[])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda x: trim(regexp_replace(replace(x, chr(1), '.'), '^\s+|\s+$', '', 'g'))), lambda x: length(x) > 0) AS ss FROM m)
+        SELECT doc_id, CAST(u.i - 1 AS INT) AS pos, md5(u.x) AS sentence_md5, CAST(length(u.x) AS INT) AS chars FROM s, unnest(ss) WITH ORDINALITY AS u(x, i)""",
+    "cited_tables": rf"""
+        WITH {T["items"]}, c AS (SELECT item_no, regexp_split_to_array(nullif(regexp_extract(citation, '(?i)\bTables?\s*((?:S?\d+(?:\.\d+)*[a-z]?)(?:\s*(?:,|and|&|-|–|to)\s*S?\d+(?:\.\d+)*[a-z]?)*)', 1), ''), '\s*(?:,|and|&)\s*') AS ps FROM items),
+        e AS (SELECT item_no, flatten(list_transform(ps, lambda p: CASE WHEN regexp_matches(p, '^\d+\s*(?:-|–|to)\s*\d+$') AND CAST(regexp_extract(p, '(\d+)$', 1) AS INT) - CAST(regexp_extract(p, '^(\d+)', 1) AS INT) < {X.WIDEST_RANGE}
+              THEN list_transform(range(CAST(regexp_extract(p, '^(\d+)', 1) AS INT), CAST(regexp_extract(p, '(\d+)$', 1) AS INT) + 1), lambda i: CAST(i AS VARCHAR)) ELSE list_filter(regexp_split_to_array(p, '\s*(?:-|–|to)\s*'), lambda x: length(x) > 0) END)) AS ts FROM c),
+        f AS (SELECT item_no, u.t AS table_no, min(u.i) AS i FROM e, unnest(ts) WITH ORDINALITY AS u(t, i) GROUP BY ALL)
+        SELECT item_no, CAST(row_number() OVER (PARTITION BY item_no ORDER BY i) - 1 AS INT) AS pos, table_no FROM f""",
 }

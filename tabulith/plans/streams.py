@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulith.functions import numbers as N
-from tabulith.functions import text as X
 from tabulith.operators import checking as C
 from tabulith.operators import extracting as E
 from tabulith.operators import fixing as D
+from tabulith.operators import toolbox as B
 from tabulith.plans.evidence import _targets
 from tabulith.session import table
 
@@ -47,18 +46,14 @@ def event_windows(spark, sf):
 
 
 def failure_codes(spark, sf):
-    """What is objectively wrong with each saved result, counted by code."""
-    r = records(spark, sf).where("result is not null").select("rec_id", "item_id", "result")
-    t = _targets(spark, sf).select(F.col("id").alias("item_id"), "claim", "text", "number_text")
-    i = items(spark, sf).select(F.col("id").alias("item_id"), "citation")
-    rows = r.join(t, "item_id").join(i, "item_id")
-    cited, said = X.document_in(F.col("citation")), X.document_in(F.col("result.location"))
-    same = (F.coalesce(said, cited) == cited) & X.table_in(F.col("result.location")).eqNullSafe(X.table_in(F.col("citation")))
-    # numbers of a claim and its source are compared once for each pair, not for each record
-    short = t.select("item_id", F.transform(N.missing(F.col("claim"), F.col("number_text")), lambda m: m["number"]).alias("lacking"))
-    rows = rows.join(short, "item_id")
-    codes = C.objective_failures(F.col("result.quote"), F.col("result.verdict"), F.col("text"), F.lit(True), F.coalesce(same, F.lit(True)), F.col("lacking"), F.lit(False))
-    return rows.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    """What is objectively wrong with each saved result, counted by code; locations are looked up in the store."""
+    i = items(spark, sf)
+    r = records(spark, sf).where("result is not null").select("rec_id", "item_id", "result.*")
+    read = _targets(spark, sf).select(F.col("id").alias("item_id"), F.array("text").alias("evidence"))
+    results = r.join(read, "item_id").select("rec_id", "verdict", "quote", "location", "evidence", F.lit(False).alias("exhausted"))
+    checks = r.select("rec_id", "item_id").join(i.select(F.col("id").alias("item_id"), "claim", "citation"), "item_id").select("rec_id", "claim", "citation", F.lit(False).alias("number_checked"))
+    codes = B.failures_of(results, checks, studies(spark, sf), sections(spark, sf), "rec_id")
+    return codes.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def rewrite_diffs(spark, sf):
