@@ -223,3 +223,31 @@ def round_robin(rows: DataFrame, key: str, kinds: list[str]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1 + F.col("before")
     named = F.array(*(F.lit(k) for k in kinds))
     return ranged.join(F.broadcast(before), "part").withColumn("place", place).withColumn("kind", F.get(named, (F.col("place") % len(kinds)).cast("int"))).drop("part", "before")
+
+
+def assigned(rows: DataFrame, possible: DataFrame, key: str, kinds: list[str]) -> DataFrame:
+    """(key, kind): the kind of each row's place in turn if it is possible, else the first possible one in order; rows without any are left out.
+
+    possible: (key, kind), what each row can be made into.
+    """
+    turn = round_robin(rows.select(key), key, kinds).select(key, F.col("kind").alias("wanted"))
+    rank = F.array_position(F.array(*(F.lit(k) for k in kinds)), F.col("kind"))
+    met = turn.join(possible.select(key, "kind").distinct(), key).where(rank > 0)
+    return met.groupBy(key).agg(F.min_by("kind", F.struct(F.col("kind") != F.col("wanted"), rank)).alias("kind"))
+
+
+def full_documents(studies: DataFrame, claims: DataFrame, references: DataFrame) -> DataFrame:
+    """(doc_id, kind, pos, part, label, section_kind, text): whole documents, study reports and the papers they cite.
+
+    studies and references: evidence units (id, unit_no, kind, label, text); claims: (claim_no, id, text). Study reports lose
+    sections that report results and paragraphs that give a claim away; cited papers keep
+    all, with their abstract. Paragraphs of a section stand together, where its first one stood.
+    """
+    body = studies.where("unit_no is not null and kind = 'paragraph'").select(F.concat_ws("/", "id", F.col("unit_no").cast("string")).alias("key"), "id", "unit_no", F.col("label").alias("section"), "label", "text")
+    kept = without_leaks(body.select("key", "id", "section", "text"), claims, "key", "id").select("key").join(body, "key").select("id", "unit_no", "label", "text")
+    tables = studies.where("kind = 'table'").select("id", "unit_no", "label", "text")
+    own = text_sections(kept, ["id", "label"], "unit_no", "text").withColumn("section_kind", F.lit("text")).unionByName(text_sections(tables, ["id", "label"], "unit_no", "text").withColumn("section_kind", F.lit("table")))
+    cited = references.where("unit_no is not null").withColumn("section_kind", F.when(F.col("kind") == "table", F.lit("table")).otherwise(F.lit("text")))
+    theirs = text_sections(cited, ["id", "label", "section_kind"], "unit_no", "text")
+    both = own.withColumn("kind", F.lit("study")).unionByName(theirs.withColumn("kind", F.lit("reference")))
+    return both.select(F.col("id").alias("doc_id"), "kind", F.col("first").alias("pos"), "part", "label", "section_kind", "text")

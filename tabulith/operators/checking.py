@@ -145,7 +145,7 @@ def supported_note(claim: Column, number_text: Column, label: Column) -> Column:
     missing = N.missing(claim, number_text)
     numbers = F.when(F.size(missing) > 0, F.concat(F.lit("these numbers are not in "), label, F.lit(": "), F.array_join(F.transform(missing, lambda m: F.concat(m["number"], F.when(F.size(m["nearest"]) > 0, F.concat(F.lit(" (closest: "), F.array_join(m["nearest"], ", "), F.lit(")"))).otherwise(F.lit("")))), ", ")))
     cues = V.cues(claim, number_text)
-    said = F.when(F.size(cues) > 0, F.concat(F.lit("the wording may say more than the source ("), F.array_join(cues, ", "), F.lit(")")))
+    said = F.when(F.size(cues) > 0, F.array_join(V.cue_messages(cues), "; "))
     return F.concat_ws(". Also, ", numbers, said)
 
 

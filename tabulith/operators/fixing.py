@@ -117,3 +117,53 @@ def suggest_rewrites(flagged: DataFrame, key: str, ask, attempts: int = 2) -> Da
     asked = cut(flagged.select(F.col(key).alias("k"), "claim", "source").mapInPandas(run, f"k {kind}, claim string, source string, tries array<string>"))
     gated = asked.withColumn("rewrite", F.get(F.filter("tries", lambda t: rewrite_passes(F.col("claim"), t, F.col("source"))), F.lit(0)))
     return gated.select(F.col("k").alias(key), "rewrite", word_diff(F.col("claim"), F.col("rewrite")).alias("diff"), F.when(F.col("rewrite").isNull(), F.lit("no rewrite passed the number gate")).otherwise(F.lit("")).alias("note"))
+
+
+def cached_rewrites(claims: DataFrame, cache: DataFrame, ask, again: bool = False) -> DataFrame:
+    """The cache (style, claim, rewrite) with all wanted claims: only new ones are asked for, each once; no rewrite is kept as null.
+
+    claims: (style, claim). again: ask for claims whose kept rewrite is null, too.
+    """
+    from tabulith.session import cut
+
+    kept = cache.where("rewrite is not null") if again else cache
+    todo = claims.select("style", "claim").where("claim is not null").distinct().join(kept.select("style", "claim"), ["style", "claim"], "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for style, claim in zip(b["style"], b["claim"], strict=True):
+                try:
+                    out.append((style, claim, (ask(style, claim) or "").strip() or None))
+                except Exception:  # noqa: BLE001
+                    out.append((style, claim, None))
+            yield pd.DataFrame(out, columns=["style", "claim", "rewrite"])
+
+    return kept.select("style", "claim", "rewrite").unionByName(cut(todo.mapInPandas(run, "style string, claim string, rewrite string")))
+
+
+def suggest_fixes(flagged: DataFrame, places: DataFrame, key: str, rewrite, recheck) -> DataFrame:
+    """(key, text, citation, candidates, note): for each flagged claim a moved citation or new wording that a second check supports.
+
+    flagged: (key, claim, citation, doc_id, source, verdict), source null where the citation has no section; places:
+    (norm, doc_id, label). recheck(rows of (key, claim, citation)) gives (key, verdict). Citations are tried first where the target is
+    wrong or a number is missing; wording where at most one number is missing. What nothing
+    fixes comes with the places that hold its numbers, for a person.
+    """
+    from tabulith.session import cut
+
+    rows = cut(flagged.where("verdict <> 'supported'").withColumn("lacking", F.when(F.col("source").isNotNull(), F.size(N.missing(F.col("claim"), F.col("source"))))))
+    wrong = (F.col("verdict") == "wrong_target") | F.col("source").isNull()
+    movable = rows.where(wrong | (F.col("lacking") > 0))
+    offered = cut(citation_candidates(movable.select(key, "claim", "doc_id"), places, key))
+    tries = cut(offered.select(key, F.posexplode("candidates").alias("n", "citation")).withColumn("try", F.concat_ws("/", key, "n")))
+    checked = recheck(tries.join(rows.select(key, "claim"), key).select(F.col("try").alias(key), "claim", "citation")).select(F.col(key).alias("try"), "verdict")
+    moved = tries.join(checked.where("verdict = 'supported'"), "try").groupBy(key).agg(F.min_by("citation", "n").alias("new_citation"))
+    rest = rows.join(moved, key, "left").join(offered, key, "left")
+    reword = rest.where(F.col("new_citation").isNull() & ~wrong & ((F.col("lacking") <= 1) | F.col("candidates").isNull()))
+    made = suggest_rewrites(reword.select(key, "claim", "source"), key, rewrite).where("rewrite is not null").select(key, "rewrite")
+    agreed = recheck(made.join(rows.select(key, "citation"), key).select(key, F.col("rewrite").alias("claim"), "citation")).where("verdict = 'supported'").select(key)
+    worded = made.join(agreed, key, "left_semi")
+    both = rest.join(worded, key, "left")
+    note = F.when(F.col("new_citation").isNotNull(), F.lit("moved and checked again: supported")).when(F.col("rewrite").isNotNull(), F.lit("reworded and checked again: supported")).when(F.size("candidates") > 0, F.lit("the numbers stand elsewhere")).otherwise(F.lit("no fix passed"))
+    return both.select(key, F.when(F.col("new_citation").isNull(), F.col("rewrite")).alias("text"), F.col("new_citation").alias("citation"), "candidates", note.alias("note"))

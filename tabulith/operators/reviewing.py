@@ -46,6 +46,11 @@ CONCEDED = r"(?i)\b(?:numerically|slightly|marginally|non-?\s?significant\w*|not
 SPREAD = r"[±]\s*\d+(?:\.\d+)?|[\[(][^\[\]()]*[,–][^\[\]()]*[\])]"
 DECREASE = r"(?i)\b(?:decreas\w*|reduc\w*|fell|fall\w*|drop\w*|declin\w*|lower\w*|loss|lost)\b[^.;]{0,40}$"
 INCREASE = r"(?i)\b(?:increas\w*|rose|rise|rising|gain\w*|grew|elevat\w*|rais\w*)\b[^.;]{0,40}$"
+CHANGE = r"(?i)\b(increas\w*|decreas\w*|rose|fell|dropped|declined|improved|reduced)\s+(?:\w+\s+){0,2}to\s+[^\d−-]{0,12}([−-]?\d[\d.,]*)"
+TIME_SPAN = r"(?i)\b(?:week|month|day|year)s?\s*\d+\b|\b\d+[\s-]*(?:week|month|day|year|hour|minute)s?\b"
+NAMED_TIME = r"(?i)\b(?:week|month|day|year)s?\s*\d+\b|\b\d+[\s-]*(?:week|month|day|year)s?\b"
+VERSUS = r"(?i)\bvs\.?|versus\b"
+P_COLUMN = r"(?i)(?:^|[\s(])p(?:[\s-]*value)?(?![A-Za-z0-9_])|p\s*[<=]"
 # End of fixed values.
 
 
@@ -148,37 +153,81 @@ def _before_after(claim: Column) -> tuple[Column, Column]:
     return F.when(F.size(parts) == 2, parts[0]), F.when(F.size(parts) == 2, parts[1])
 
 
+def changed_wrongly(claim: Column) -> Column:
+    """Whether a claim's word of change contradicts the value it goes to and the last one named before."""
+    word, target = F.regexp_extract(claim, ascii_words(CHANGE), 1), N.informative(F.regexp_extract(claim, ascii_words(CHANGE), 2))
+    before = F.regexp_extract(claim, "(?s)^(.*?)" + ascii_words(CHANGE), 1)
+    earlier = N.informative(F.regexp_replace(F.regexp_replace(before, ascii_words(TIME_SPAN), " "), SPREAD, " "))
+    start, end = F.element_at(earlier, -1)["value"], F.get(target, F.lit(0))["value"]
+    wrong = F.when(word.rlike("(?i)increas|rose"), end < start).otherwise(end > start)
+    return F.coalesce((word != "") & ~word.rlike("(?i)improved|reduced") & (F.size(earlier) > 0) & (F.size(target) > 0) & wrong, F.lit(False))
+
+
 def comparison_direction(claim: Column) -> Column:
-    """Whether a claim's comparative word contradicts the two values that it gives itself."""
+    """Whether a claim's comparative word contradicts the two values that it gives itself.
+
+    The values stand on both sides of the comparison, or both after it with "vs" between.
+    """
     up, down = has(claim, UP), has(claim, DOWN)
     before, after = _before_after(claim)
-    left = N.informative(F.regexp_replace(before, SPREAD, " "))
-    right = N.informative(F.regexp_replace(after, SPREAD, " "))
+    values = lambda t: N.informative(F.regexp_replace(t, SPREAD, " "))
+    late = F.split(after, ascii_words(VERSUS), 2)
+    apart = F.size(values(before)) > 0
+    left = F.when(apart, values(before)).when(F.size(late) == 2, values(late[0]))
+    right = F.when(apart, values(after)).when(F.size(late) == 2, values(late[1]))
     a, b = F.element_at(left, -1)["value"], F.get(right, F.lit(0))["value"]
     wrong = F.when(up, a < b).otherwise(a > b)
     return F.coalesce((up != down) & (F.size(left) > 0) & (F.size(right) > 0) & (a >= 0) & (b >= 0) & (a != b) & wrong, F.lit(False))
 
 
+def time_points(text: Column) -> Column:
+    """Time points of a text, as "week 12"."""
+    found = F.regexp_extract_all(text, F.lit(ascii_words(NAMED_TIME)), F.lit(0))
+    return F.transform(found, lambda m: F.concat(F.lower(F.regexp_extract(m, "(?i)(week|month|day|year)", 1)), F.lit(" "), F.regexp_extract(m, r"(\d+)", 1)))
+
+
 def comparison_nonsignificant(claim: Column, source: Column) -> Column:
     """Whether a comparison stated as fact stands on table rows whose p-values are all above 0.05.
 
-    The rows are those that hold every informative number of the claim.
+    The rows are those that hold every informative number of the claim, or, for a claim
+    without one, those whose first cell names a time point of the claim.
     """
     lines = F.filter(F.split(source, "\n"), lambda line: F.contains(line, F.lit("|")))
     split = lambda line: F.transform(F.split(line, r"\|"), F.trim)
     wanted = F.transform(N.informative(claim), lambda n: n["norm"])
+    numbered = F.size(N.informative(claim)) > 0
 
     def check(ls: Column) -> Column:
         header = split(ls[0])
-        columns = F.transform(header, lambda h: h.rlike(r"(?i)(?:^|[\s(])p(?:[\s-]*value)?(?![A-Za-z0-9_])|p\s*[<=]"))
+        columns = F.transform(header, lambda h: h.rlike(P_COLUMN))
         p_of = lambda cell: F.get(N.numbers_in(F.regexp_replace(cell, r"^[<>≤≥=\s]+", "")), F.lit(0))["value"]
-        holds = lambda line: let(F.transform(N.informative(line), lambda n: n["norm"]), lambda own: F.forall(wanted, lambda w: F.array_contains(own, w) | F.array_contains(own, N.unsigned(w))))
-        row_ps = lambda line: let(split(line), lambda cells: F.when(F.size(cells) == F.size(header), F.filter(F.transform(cells, lambda c, i: F.when(F.coalesce(F.get(columns, i), F.lit(False)), p_of(c))), lambda p: p.between(0, 1))).otherwise(F.array().cast("array<double>")))
+        named = lambda line: F.arrays_overlap(time_points(F.coalesce(F.get(split(line), F.lit(0)), F.lit(""))), time_points(claim))
+        holds = lambda line: F.when(numbered, let(F.transform(N.informative(line), lambda n: n["norm"]), lambda own: F.forall(wanted, lambda w: F.array_contains(own, w) | F.array_contains(own, N.unsigned(w))))).otherwise(named(line))
+        row_ps = lambda line: let(
+            split(line), lambda cells: F.when(F.size(cells) == F.size(header), F.filter(F.transform(cells, lambda c, i: F.when(F.coalesce(F.get(columns, i), F.lit(False)), p_of(c))), lambda p: p.between(0, 1))).otherwise(F.array().cast("array<double>"))
+        )
         ps = F.flatten(F.transform(F.filter(F.slice(ls, 2, F.greatest(F.size(ls) - 1, F.lit(0))), holds), row_ps))
         return let(ps, lambda x: (F.size(x) > 0) & F.forall(x, lambda p: p > 0.05))
 
     asked = (has(claim, UP) != has(claim, DOWN)) & has(claim, BETWEEN) & ~has(claim, CONCEDED) & ~F.exists(p_values(claim), lambda p: p <= 0.05)
-    return F.when(asked & (F.size(lines) >= 2) & (F.size(N.informative(claim)) > 0), let(lines, check)).otherwise(F.lit(False))
+    return F.when(asked & (F.size(lines) >= 2) & (numbered | (F.size(time_points(claim)) > 0)), let(lines, check)).otherwise(F.lit(False))
+
+
+#: What each cue says to whoever answers it.
+CUE_MESSAGES = {
+    "absolute_no_difference": "the claim says that there is no difference at all; a source can seldom show more than that none was significant",
+    "certainty_on_nonsignificant": "the claim is worded as certain, but its own p-value is above 0.05",
+    "unqualified_trend": "the claim speaks of a trend without saying that it was not significant",
+    "scope_dropped": "the claim speaks of all times, but the source reports several time points",
+    "comparison_direction": "the claim's word of direction does not go with the values that it gives",
+    "comparison_nonsignificant": "the claim states a difference as a fact, but the p-values of its row are not significant",
+}
+
+
+def cue_messages(codes: Column) -> Column:
+    """Messages of cue codes, in their order."""
+    known = F.create_map(*(F.lit(x) for kv in CUE_MESSAGES.items() for x in kv))
+    return F.transform(codes, lambda c: known[c])
 
 
 def cues(claim: Column, source: Column) -> Column:
@@ -191,7 +240,7 @@ def cues(claim: Column, source: Column) -> Column:
         F.when(F.exists(p_values(claim), lambda p: p > 0.05) & has(claim, CERTAIN) & ~has(claim, HEDGED), F.lit("certainty_on_nonsignificant")),
         F.when(has(claim, TREND) & ~has(claim, TREND_QUALIFIED) & ~has(claim, SIGNIFICANT) & trend_open, F.lit("unqualified_trend")),
         F.when(has(claim, SCOPE) & ~has(claim, TIME_POINT) & (F.size(times) >= 2), F.lit("scope_dropped")),
-        F.when(comparison_direction(claim), F.lit("comparison_direction")),
+        F.when(changed_wrongly(claim) | comparison_direction(claim), F.lit("comparison_direction")),
         F.when(comparison_nonsignificant(claim, source), F.lit("comparison_nonsignificant")),
     )
     return F.array_compact(codes)

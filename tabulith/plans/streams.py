@@ -12,7 +12,7 @@ from tabulith.plans.evidence import _targets
 from tabulith.session import table
 
 from tabulith.sources.tables import items, records, sections, studies
-from tabulith.streaming import windowed_counts
+from tabulith.streaming import session_counts, windowed_counts
 
 
 def _paragraphs(spark, sf):
@@ -45,6 +45,17 @@ def event_windows(spark, sf):
     return w.select("event_type", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin"), "n", F.round("total", 4).alias("total"))
 
 
+def sliding_windows(spark, sf):
+    w = windowed_counts(table(spark, sf, "events"), width="2 hours", slide="1 hour")
+    return w.select("event_type", F.date_format("begin", "yyyy-MM-dd HH:mm:ss").alias("begin"), "n", F.round("total", 4).alias("total"))
+
+
+def user_sessions(spark, sf):
+    """Events of one user with less than an hour between them."""
+    s = session_counts(table(spark, sf, "events"), "user_id", gap="1 hour")
+    return s.select("user_id", F.date_format("begin", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("begin"), F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "n")
+
+
 def failure_codes(spark, sf):
     """What is objectively wrong with each saved result, counted by code; locations are looked up in the store."""
     i = items(spark, sf)
@@ -70,10 +81,17 @@ def orders_by_nation(spark, sf):
     return joined.groupBy("n_name", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("orders"), F.round(F.sum("revenue"), 2).cast("double").alias("revenue"))
 
 
-QUERIES = {f.__name__: f for f in (extracted_claims, uncited_sentences, scan_report, parsed_props, event_windows, failure_codes, rewrite_diffs, orders_by_nation)}
+QUERIES = {f.__name__: f for f in (extracted_claims, uncited_sentences, scan_report, parsed_props, event_windows, sliding_windows, user_sessions, failure_codes, rewrite_diffs, orders_by_nation)}
 SQL = {
     "parsed_props": "SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL",
     "event_windows": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS begin, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "sliding_windows": """
+        WITH w AS (SELECT event_type, value, date_trunc('hour', ts) - INTERVAL (u.i) HOUR AS b FROM events, unnest([0, 1]) AS u(i) WHERE ts IS NOT NULL)
+        SELECT event_type, strftime(b, '%Y-%m-%d %H:%M:%S') AS begin, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""",
+    "user_sessions": """
+        WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL),
+        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS begin, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS n FROM s GROUP BY user_id, no""",
     "orders_by_nation": """
         WITH r AS (SELECT l_orderkey, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(20, 6))) AS revenue FROM lineitem GROUP BY l_orderkey)
         SELECT n_name, CAST(year(o_orderdate) AS INT) AS y, count(*) AS orders, CAST(round(sum(revenue), 2) AS DOUBLE) AS revenue

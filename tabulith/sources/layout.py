@@ -11,6 +11,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values.
 BASELINE, CELL_GAP = 2.0, 8.0
@@ -19,19 +20,35 @@ CAPTION = re.compile(r"^\s*(?:Table|TABLE)\s+(\d+)\s*[.:|]?\s*(.*)$")
 # End of fixed values.
 
 
+def upright(spans: DataFrame) -> DataFrame:
+    """Spans (doc, page, x0, y0, x1, y1, dx, dy, text) in the frame of their reading direction: (doc, page, frame, x0, x1, y, text).
+
+    frame is 0 for text across the page, 1 for text that reads upwards, 2 for downwards;
+    dx and dy are the direction of the line (null: across).
+    """
+    across = F.coalesce(F.abs("dx") >= F.abs("dy"), F.lit(True))
+    frame = F.when(across, F.lit(0)).when(F.col("dy") < 0, F.lit(1)).otherwise(F.lit(2))
+    a = F.when(across, F.col("x0")).when(F.col("dy") < 0, -F.col("y1")).otherwise(F.col("y0"))
+    b = F.when(across, F.col("x1")).when(F.col("dy") < 0, -F.col("y0")).otherwise(F.col("y1"))
+    base = F.when(across, F.col("y1")).when(F.col("dy") < 0, F.col("x1")).otherwise(-F.col("x0"))
+    return spans.select("doc", "page", frame.alias("frame"), a.alias("x0"), b.alias("x1"), F.floor(base + 0.5).cast("double").alias("y"), "text")
+
+
 def page_lines(spans: DataFrame) -> DataFrame:
-    """(doc, page, line_no, x0, x1, text) with cells parted by ' | '.
+    """(doc, page, line_no, x0, x1, rotated, text) with cells parted by ' | '.
 
-    A span joins the line whose first span's baseline is at most BASELINE away; a gap wider
-    than CELL_GAP begins a cell. Spans without text are left out.
+    A span joins the line of its frame whose first span's baseline is at most BASELINE away;
+    a gap wider than CELL_GAP begins a cell. Lines of turned frames follow the page's
+    others. Spans without text are left out.
     """
+    spans = spans if "frame" in spans.columns else spans.withColumn("frame", F.lit(0))
 
     def lines(pdf: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
-        for s in pdf.sort_values(["y", "x0"], kind="stable").itertuples():
+        for s in pdf.sort_values(["frame", "y", "x0"], kind="stable").itertuples():
             if not (s.text or "").strip():
                 continue
-            if rows and abs(rows[-1][0].y - s.y) <= BASELINE:
+            if rows and rows[-1][0].frame == s.frame and abs(rows[-1][0].y - s.y) <= BASELINE:
                 rows[-1].append(s)
             else:
                 rows.append([s])
@@ -45,10 +62,10 @@ def page_lines(spans: DataFrame) -> DataFrame:
                 else:
                     cells.append(s.text.strip())
                 right = s.x1 if right is None else max(right, s.x1)
-            out.append((row[0].doc, row[0].page, no, float(row[0].x0), float(right), " | ".join(cells)))
-        return pd.DataFrame(out, columns=["doc", "page", "line_no", "x0", "x1", "text"])
+            out.append((row[0].doc, row[0].page, no, float(row[0].x0), float(right), row[0].frame != 0, " | ".join(cells)))
+        return pd.DataFrame(out, columns=["doc", "page", "line_no", "x0", "x1", "rotated", "text"])
 
-    return spans.groupBy("doc", "page").applyInPandas(lines, "doc string, page int, line_no int, x0 double, x1 double, text string")
+    return spans.groupBy("doc", "page").applyInPandas(lines, "doc string, page int, line_no int, x0 double, x1 double, rotated boolean, text string")
 
 
 def is_prose(text: str, width: float, column: float) -> bool:
@@ -66,7 +83,8 @@ def layout_tables(lines: DataFrame) -> DataFrame:
 
     def tables(pdf: pd.DataFrame) -> pd.DataFrame:
         found: dict[int, dict] = {}
-        column = float((pdf["x1"] - pdf["x0"]).max()) if len(pdf) else 0.0
+        # columns are as wide as the widest line of their page
+        widest = (pdf["x1"] - pdf["x0"]).groupby(pdf["page"]).max()
         now, prose, caption_left = None, 0, 0
         for line in pdf.sort_values(["page", "line_no"]).itertuples():
             m = CAPTION.match(line.text)
@@ -76,7 +94,7 @@ def layout_tables(lines: DataFrame) -> DataFrame:
                 continue
             if now is None:
                 continue
-            running = is_prose(line.text, line.x1 - line.x0, column)
+            running = is_prose(line.text, line.x1 - line.x0, float(widest[line.page]))
             if caption_left and " | " not in line.text and not now["rows"]:
                 now["caption"] = f"{now['caption']} {line.text}".strip()
                 caption_left -= 1

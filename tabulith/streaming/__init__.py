@@ -35,7 +35,14 @@ def two_phases(stream: DataFrame, fast, strong, sink: str, checkpoint: str) -> S
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """(kind, begin, n, total) per tumbling window; rows later than the watermark are dropped by a stream."""
-    w = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "1 day", slide: str | None = None) -> DataFrame:
+    """(kind, begin, n, total) per tumbling window, or per sliding one with `slide`; rows later than the watermark are dropped by a stream."""
+    window = F.window(at, width, slide) if slide else F.window(at, width)
+    w = events.withWatermark(at, late).groupBy(window.alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(kind, F.col("w.start").alias("begin"), "n", "total")
+
+
+def session_counts(events: DataFrame, by: str, at: str = "ts", gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """(by, begin, last, n) per session: rows of one key with less than `gap` between neighbours. Null times have no session."""
+    s = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count("*").alias("n"), F.max(at).alias("last"))
+    return s.select(by, F.col("w.start").alias("begin"), "last", "n")

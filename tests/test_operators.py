@@ -206,3 +206,52 @@ def test_long_sections_come_in_parts(spark):
     parts = G.text_sections(df, ["s"], "o", "t", chars=100).orderBy("part").collect()
     assert [r["first"] for r in parts] == sorted(r["first"] for r in parts) and len(parts) > 2 and sum(r["paragraphs"] for r in parts) == 10
     assert "\n\n".join(r["text"] for r in parts) == "\n\n".join("x" * 40 if i != 3 else "" for i in range(10))
+
+
+def test_direction_of_changes(spark):
+    cases = [("a score of 55.89, which decreased to 98.12", True), ("a score of 55.89, which decreased to 42.5", False), ("from 40.5 it rose to 30.5", True), ("from 40.5 it improved to 30.5", False), ("at week 24 it fell to 30.5", False), ("smaller than the control group (15.5 vs. 10.5)", True), ("smaller than the control group (10.5 vs. 15.5)", False), (None, False)]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "c string")
+    got = [r[0] for r in df.select(F.array_contains(V.cues(F.col("c"), F.lit("x")), "comparison_direction")).collect()]
+    assert got == [w if c is not None else got[-1] for c, w in cases] and not got[-1]
+    table = "Visit | A | B | p-value\nWeek 12 | 1 | 2 | 0.4\nWeek 24 | 1 | 2 | 0.01"
+    claims = [("Scores were lower than placebo at week 12", True), ("Scores were lower than placebo at week 24", False), ("Scores were lower than placebo", False)]
+    df = spark.createDataFrame([(c, table) for c, _ in claims], "c string, t string")
+    assert [r[0] for r in df.select(V.comparison_nonsignificant(F.col("c"), F.col("t"))).collect()] == [w for _, w in claims]
+    assert [len(r[0]) for r in df.limit(1).select(V.cue_messages(F.array(*(F.lit(c) for c in V.CUE_MESSAGES)))).collect()] == [6]
+
+
+def test_kinds_with_fallback_and_full_documents(spark):
+    rows_ = spark.createDataFrame([(i,) for i in range(6)], "k int")
+    possible = spark.createDataFrame([(0, "a"), (1, "a"), (2, "c"), (2, "b"), (3, "a"), (3, "b"), (4, "z")], "k int, kind string")
+    assert rows(G.assigned(rows_, possible, "k", ["a", "b", "c"])) == [(0, "a"), (1, "a"), (2, "c"), (3, "a")]
+    unit = "id string, unit_no int, kind string, label string, text string"
+    studies = spark.createDataFrame([("s", 0, "abstract", "Abstract", "x"), ("s", 1, "paragraph", "Methods > A", "one"), ("s", 2, "paragraph", "Results", "two"), ("s", 3, "paragraph", "Methods > A", "three"), ("s", 4, "paragraph", "Methods > B", "the mean was 12.5 and 30.1 here"), ("s", 5, "table", "Table 1", "rows")], unit)
+    refs = spark.createDataFrame([("r", 0, "abstract", "Abstract", "x"), ("r", 1, "paragraph", "Results", "y"), ("r", None, "title", "", "t")], unit)
+    claims = spark.createDataFrame([(1, "s", "A mean of 12.5 against 30.1")], "claim_no int, id string, text string")
+    got = rows(G.full_documents(studies, claims, refs).select("doc_id", "kind", "pos", "label", "text"))
+    assert got == [("r", "reference", 0, "Abstract", "x"), ("r", "reference", 1, "Results", "y"), ("s", "study", 1, "Methods > A", "one\n\nthree"), ("s", "study", 5, "Table 1", "rows")]
+
+
+def test_fixes_are_checked_again(spark):
+    from tabulith.operators import fixing as D
+
+    schema = "k string, claim string, citation string, doc_id string, source string, verdict string"
+    data = [("1", "was 12.5", "d1, T1", "d1", "mean 99.5", "not_supported"), ("2", "was 44.5", "d1, T1", "d1", "mean 44.6", "not_supported"), ("3", "was 12.5", "d9, T1", "d9", None, "wrong_target"), ("4", "fine", "x", "x", "y", "supported"), ("5", "was 55.5 and 66.5", "d1, T1", "d1", "mean 1.5", "not_supported")]
+    places = spark.createDataFrame([("12.5", "d1", "T2"), ("12.5", "d3", "T3")], "norm string, doc_id string, label string")
+    recheck = lambda df: df.select("k", F.when(F.col("citation") == "d3, T3", F.lit("not_supported")).otherwise(F.lit("supported")).alias("verdict"))
+    got = {r["k"]: r for r in D.suggest_fixes(spark.createDataFrame(data, schema), places, "k", lambda p: "was 44.6" if "44.5" in p else None, recheck).collect()}
+    assert got["1"]["citation"] == got["3"]["citation"] == "d1, T2" and got["2"]["text"] == "was 44.6" and "4" not in got
+    assert got["5"]["text"] is None and got["5"]["note"] == "no fix passed"
+    cache = spark.createDataFrame([("s", "a", "A!"), ("s", "b", None)], "style string, claim string, rewrite string")
+    claims = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "c"), ("t", "a"), ("s", None)], "style string, claim string")
+    assert rows(D.cached_rewrites(claims, cache, lambda s, c: c.upper() if c != "c" else "")) == [("s", "a", "A!"), ("s", "b", None), ("s", "c", None), ("t", "a", "A")]
+    assert ("s", "b", "B") in rows(D.cached_rewrites(claims, cache, lambda s, c: c.upper(), again=True))
+
+
+def test_rotated_text(spark):
+    from tabulith.sources import layout
+
+    spans = [("d", 1, 10.0, 20.0, 60.0, 30.0, 1.0, 0.0, "across"), ("d", 1, 100.0, 300.0, 110.0, 350.0, 0.0, -1.0, "first"), ("d", 1, 100.0, 200.0, 110.0, 280.0, 0.0, -1.0, "second"), ("d", 1, 120.0, 300.0, 130.0, 350.0, 0.0, -1.0, "below"), ("d", 1, 50.0, 10.0, 60.0, 40.0, 0.0, 1.0, "down"), ("d", 1, 1.0, 1.0, 2.0, 2.0, None, None, " ")]
+    df = spark.createDataFrame(spans, "doc string, page int, x0 double, y0 double, x1 double, y1 double, dx double, dy double, text string")
+    got = [(r["rotated"], r["text"]) for r in layout.page_lines(layout.upright(df)).orderBy("line_no").collect()]
+    assert got == [(False, "across"), (True, "first | second"), (True, "below"), (True, "down")]
