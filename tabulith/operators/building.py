@@ -179,9 +179,9 @@ def leaking(paragraphs: DataFrame, claims: DataFrame, key: str, group: str) -> D
     inner = _inner_words(F.col("beginning"))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     begun = asked.where("beginning <> ''").select(group, "beginning", F.when(F.size(inner) >= LEAK_WORDS, F.array_join(F.slice(inner, 1, LEAK_WORDS), " ")).when(F.size(inner) > 0, longest).alias("piece"), F.size(inner).alias("n")).distinct()
-    words = F.split("plain", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - LEAK_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, LEAK_WORDS), " "))
-    pieces = own.select(key, group, F.explode(F.array_distinct(F.concat(runs, words))).alias("piece"))
+    runs = lambda words: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - LEAK_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, LEAK_WORDS), " "))
+    # the words of a text are made once, not for each of its runs
+    pieces = own.select(key, group, F.explode(let(F.split("plain", " "), lambda words: F.array_distinct(F.concat(runs(words), words)))).alias("piece"))
     met = pieces.join(begun.where("n > 0").select(group, "piece", "beginning"), [group, "piece"]).select(key, group, "beginning").distinct()
     begins = met.join(own.select(key, group, "plain"), [key, group]).where(F.contains("plain", "beginning")).select(key)
     short = own.select(key, group, "plain").join(begun.where("n = 0").select(group, "beginning"), group).where(F.contains("plain", "beginning")).select(key)
