@@ -111,12 +111,19 @@ def _bucket(packed: np.ndarray, n: int) -> np.ndarray:
     return packed if n < EXACT else (packed * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
-def _units(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol whether it is blank, and whether it ends a sentence."""
+    blank, stop = np.zeros(64, dtype=bool), np.zeros(64, dtype=bool)
+    blank[_alphabet()[[32, 10]]] = True
+    stop[_alphabet()[[ord(c) for c in ".!?"]]] = True
+    return blank, stop
+
+
+def _units(symbols: np.ndarray, starts: np.ndarray, rolling: Rolling | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Lines and sentences: the length of each with the blanks around it, and its hash without them (0 for blanks alone)."""
-    space, line = _alphabet()[32], _alphabet()[10]
-    blank = (symbols == space) | (symbols == line)
-    stop = np.isin(symbols, _alphabet()[[ord(c) for c in ".!?"]])
-    cut = symbols == line
+    blank, stop = (k[symbols] for k in _kinds())
+    cut = symbols == _alphabet()[10]
     cut[1:] |= blank[1:] & stop[:-1]
     ends = np.union1d(np.flatnonzero(cut) + 1, starts[1:]).astype(np.int64)
     ends = ends[ends > 0]
@@ -127,7 +134,7 @@ def _units(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     real = np.flatnonzero(b > a)
     if len(real):
         first = inked[a[real]]
-        hashes[real] = Rolling(symbols).windows(first, inked[b[real] - 1] + 1 - first)
+        hashes[real] = (rolling or Rolling(symbols)).windows(first, inked[b[real] - 1] + 1 - first)
     return ends - begins, hashes
 
 
@@ -138,9 +145,9 @@ class Repeats:
     hashes: np.ndarray
     counts: np.ndarray
 
-    def weights(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def weights(self, symbols: np.ndarray, starts: np.ndarray, rolling: Rolling) -> np.ndarray:
         """Weight of each character by which all copies of its line or sentence together count once."""
-        sizes, hashes = _units(symbols, starts)
+        sizes, hashes = _units(symbols, starts, rolling)
         weight = np.ones(len(sizes))
         if len(self.hashes) and len(sizes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -184,19 +191,18 @@ def _words(text: str) -> list[str]:
     return [w for w in text.split() if sum(ch.isalpha() for ch in w) > 1]
 
 
-def _quoting(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _quoting(symbols: np.ndarray, starts: np.ndarray, rolling: Rolling) -> np.ndarray:
     """Whether each text holds a whole training text, between other characters than letters and digits, or is one of any length."""
     out = np.zeros(len(starts) - 1, dtype=bool)
-    inked = np.flatnonzero((symbols != _alphabet()[32]) & (symbols != _alphabet()[10]))
+    inked = np.flatnonzero(~_kinds()[0][symbols])
     a, b = np.searchsorted(inked, starts[:-1]), np.searchsorted(inked, starts[1:])
     full = np.flatnonzero(b > a)
     if len(full):
         first = inked[a[full]]
-        whole = Rolling(symbols).windows(first, inked[b[full] - 1] + 1 - first)
+        whole = rolling.windows(first, inked[b[full] - 1] + 1 - first)
         known = _alone()
         out[full] = known[np.minimum(np.searchsorted(known, whole), len(known) - 1)] == whole
     heads, sizes, hashes, leading = _quotes()
-    rolling = Rolling(symbols)
     every = rolling.every(QUOTED)
     at = np.flatnonzero(leading[every >> np.uint64(64 - BITS)])
     k = np.minimum(np.searchsorted(heads, every[at]), len(heads) - 1)
@@ -522,9 +528,9 @@ def _glued(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _symbols(codes), starts
 
 
-def _lesson(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _lesson(symbols: np.ndarray, starts: np.ndarray, rolling: Rolling) -> np.ndarray:
     """Which characters teach the prose model: those of texts that hold no training text."""
-    prose = np.repeat(~_quoting(symbols, starts), np.diff(starts))
+    prose = np.repeat(~_quoting(symbols, starts, rolling), np.diff(starts))
     # of the lines before a text the last alone counts, as n-grams of the others reach into the text before
     prose[(starts[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
     return prose
@@ -533,7 +539,8 @@ def _lesson(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _count(tally: Tally, texts: list[str], repeated: Repeats) -> None:
     """Adds the texts to the tally as prose."""
     symbols, starts = _glued(texts)
-    tally.add(symbols, repeated.weights(symbols, starts), _lesson(symbols, starts), [])
+    rolling = Rolling(symbols)
+    tally.add(symbols, repeated.weights(symbols, starts, rolling), _lesson(symbols, starts, rolling), [])
 
 
 def _count_found(tally: Tally, texts: list[str], repeated: Repeats, model: Model, turn: int) -> None:
@@ -558,7 +565,8 @@ def _count_found(tally: Tally, texts: list[str], repeated: Repeats, model: Model
     kept = bad[doc_of]
     place = np.cumsum(kept) - 1
     symbols, starts = symbols[kept], np.concatenate([[0], np.cumsum(np.diff(starts)[bad])])
-    tally.add(symbols, repeated.weights(symbols, starts), _lesson(symbols, starts), [place[f] for f in found])
+    rolling = Rolling(symbols)
+    tally.add(symbols, repeated.weights(symbols, starts, rolling), _lesson(symbols, starts, rolling), [place[f] for f in found])
 
 
 def _rounds(counted, rows: int) -> Model:
