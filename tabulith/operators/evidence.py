@@ -12,8 +12,8 @@ from tabulith.functions import text as X
 NUMBERS_ELSEWHERE = 2
 SUGGESTIONS = 3
 # End of fixed values.
-#: Parts into which the quotes of one item are split.
-SALTS = 16
+#: Quotes of one item that one task looks up, about; the quotes of an item with more are split over several.
+HOT = 10_000
 
 
 def sections_holding(asked: DataFrame, places: DataFrame, key: str) -> DataFrame:
@@ -48,14 +48,22 @@ def suggest(claims: DataFrame, places: DataFrame, key: str) -> DataFrame:
     return picked.withColumn("pick", pick).where((F.size("pick") > 0) & (F.size("pick") <= SUGGESTIONS)).select(key, "pick")
 
 
+def plain_sources(texts: DataFrame, item: str, order: list[str]) -> DataFrame:
+    """(item, plain): the first text of each item in that order, in plain form."""
+    first = texts.groupBy(item).agg(F.min_by(F.struct("text"), F.struct(*order)).alias("s"))
+    return first.select(item, X.plain_quote(F.coalesce("s.text", F.lit(""))).alias("plain"))
+
+
 def ground_quotes(quotes: DataFrame, sources: DataFrame, key: str, item: str) -> DataFrame:
     """(key, grounded) of quotes whose item has a source.
 
-    quotes: (key, item, quote); sources: (item, text), one for each item. A source is made plain once, and
-    equal quotes of an item are looked up once; the quotes of one item are split over SALTS tasks.
+    quotes: (key, item, quote); sources: (item, plain), with the text in plain form. Sources meet quotes in a
+    shuffle by item at any size: texts pack so well that what seems small enough to broadcast may not fit the
+    driver. A source is copied only for the parts of an item with more than HOT quotes.
     """
-    once = quotes.select(item, "quote").distinct().withColumn("salt", F.pmod(F.hash("quote"), F.lit(SALTS)))
-    plain = sources.select(item, X.plain_quote(F.coalesce("text", F.lit(""))).alias("plain")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = quotes.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    hot = F.broadcast(counts.select(item, F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    asked = quotes.join(hot, item, "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.hash(key), F.col("parts")))).drop("parts")
+    plain = sources.join(hot, item, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     parts = X.fragments(F.col("quote"))
-    found = once.join(plain, [item, "salt"]).select(item, "quote", ((F.size(parts) > 0) & F.forall(parts, lambda f: F.contains("plain", f))).alias("grounded"))
-    return quotes.join(found, [item, "quote"]).select(key, "grounded")
+    return asked.join(plain.hint("merge"), [item, "part"]).select(key, ((F.size(parts) > 0) & F.forall(parts, lambda f: F.contains("plain", f))).alias("grounded"))

@@ -121,8 +121,8 @@ def percent_audit_orders(spark, sf):
 def duplicate_quotes(spark, sf):
     """Whether quotes stand in the section that their record names as their place."""
     r = records(spark, sf).where("result.quote is not null and result.location is not null").select("rec_id", F.replace("result.location", F.lit(", "), F.lit("/")).alias("item_id"), F.col("result.quote").alias("quote"))
-    s = sections(spark, sf).groupBy(F.concat_ws("/", "doc_id", "label").alias("item_id")).agg(F.min_by("text", F.struct("pos", "section_id")).alias("text"))
-    return E.ground_quotes(r, s, "rec_id", "item_id")
+    s = sections(spark, sf).withColumn("item_id", F.concat_ws("/", "doc_id", "label"))
+    return E.ground_quotes(r, E.plain_sources(s, "item_id", ["pos", "section_id"]), "rec_id", "item_id")
 
 
 QUERIES = {

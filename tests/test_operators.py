@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulith.operators import building as G
+from tabulith.operators import evidence as E
 from tabulith.operators import resolving as R
 from tabulith.operators import retrieval as I
 from tabulith.operators import reviewing as V
@@ -255,3 +256,20 @@ def test_rotated_text(spark):
     df = spark.createDataFrame(spans, "doc string, page int, x0 double, y0 double, x1 double, y1 double, dx double, dy double, text string")
     got = [(r["rotated"], r["text"]) for r in layout.page_lines(layout.upright(df)).orderBy("line_no").collect()]
     assert got == [(False, "across"), (True, "first | second"), (True, "below"), (True, "down")]
+
+
+def test_quotes_never_broadcast_their_sources(spark, monkeypatch):
+    """Sources go through a shuffle however small they look, and an item with many quotes is split without change."""
+    text = "The rate was 12.5 % in arm A."
+    quotes = spark.createDataFrame([(i, "hot" if i < 30 else "b", ["rate was 12.5 %", "arm B", "", "The rate ... arm A"][i % 4]) for i in range(40)] + [(40, "none", "rate"), (41, None, "rate")], "k int, item string, quote string")
+    texts = spark.createDataFrame([("hot", 2, "other"), ("hot", 1, text), ("b", 1, None)], "item string, pos int, text string")
+    sources = E.plain_sources(texts, "item", ["pos"])
+    found = E.ground_quotes(quotes, sources, "k", "item")
+    assert rows(found) == sorted(((i, i < 30 and i % 4 in (0, 3)) for i in range(40)), key=repr)
+    monkeypatch.setattr(E, "HOT", 7)
+    split = E.ground_quotes(quotes, sources, "k", "item")
+    assert rows(split) == rows(found)
+    # with broadcasts allowed for anything, the hot items alone are broadcast
+    split.write.format("noop").mode("overwrite").save()
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [item" in plan and "plain" not in "".join(line for line in plan.splitlines() if "BroadcastExchange" in line)
