@@ -1,5 +1,8 @@
 """Scoring, resolving, audits, cues and edits on small tables."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +276,34 @@ def test_quotes_never_broadcast_their_sources(spark, monkeypatch):
     split.write.format("noop").mode("overwrite").save()
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [item" in plan and "plain" not in "".join(line for line in plan.splitlines() if "BroadcastExchange" in line)
+
+
+def test_search_in_blocks_is_brute_force(spark):
+    """Rough sums, ties and running bounds leave what scoring every chunk term by term gives; a block of 8,192 queries reads the chunks once."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)]
+    draw = lambda n: " ".join(words[min(59, int(k))] for k in rng.exponential(8, n))
+    data = [(i // 5, i % 5, f"d{i % 3}", draw(int(rng.integers(0, 9))), draw(3)) for i in range(400)]
+    asked = [(i, draw(int(rng.integers(1, 7)))) for i in range(30)]
+    chunks = spark.createDataFrame(data, "section_id bigint, chunk_no int, doc_id string, text string, context string").repartition(3, "section_id")
+    found = I.search(spark.createDataFrame(asked, "q int, t string"), "q", "t", chunks)
+    want = []
+    fields = [([d[k].split() for d in data], w) for k, w in ((3, I.WEIGHTS["text"]), (4, I.WEIGHTS["context"]))]
+    for q, text in asked:
+        scored = []
+        for i, (section, chunk, *_) in enumerate(data):
+            total, held = 0.0, set()
+            for docs, weight in fields:
+                average = sum(len(set(d)) for d in docs) / len(docs)
+                for t in sorted(set(text.split()) & set(docs[i])):
+                    df = sum(t in d for d in docs)
+                    tf = docs[i].count(t)
+                    total += weight * math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * (I.FLOOR + tf * (I.K1 + 1) / (tf + I.K1 * (1 - I.B + I.B * len(set(docs[i])) / average)))
+                    held.add(t)
+            if held:
+                scored.append((-round(total * len(held), 6), section, chunk))
+        want += [(q, s, c, -v, p) for p, (v, s, c) in enumerate(sorted(scored)[: I.HITS], 1)]
+    got = sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0], r[4]))
+    assert [(r[0], r[1], r[2], r[4]) for r in got] == [(w[0], w[1], w[2], w[4]) for w in want]
+    assert all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+    assert I.QUERY_BLOCK >= 8192
