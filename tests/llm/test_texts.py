@@ -188,3 +188,16 @@ def labels_of(spark):
         return {tuple(r) for r in pairs.broken_pairs(df, "item_no", "original", "claim").select("item_no", "defect").collect()}
 
     return run
+
+
+def test_every_sound_pair_validates(spark):
+    """Defects are planted into all sound pairs of a table, foreign texts wherever another language is there."""
+    english = [(f"The rate of group {i} was {i} percent in the study and the trial.", f"In the study and the trial the rate of group {i} was {i} percent.", "en", "en") for i in range(900)]
+    german = [(f"Die Rate der Gruppe {i} war in der Studie und dem Versuch {i} Prozent.", f"In der Studie und dem Versuch war die Rate der Gruppe {i} {i} Prozent.", "de", "de") for i in range(4)]
+    sound = spark.createDataFrame(english + german, "original string, claim string, spoken string, own string")
+    got = pairs._planted(sound, lookalikes.forms()).where("planted").groupBy("defect").agg(F.sum("n").alias("n")).collect()
+    counts = {r["defect"]: r["n"] for r in got}
+    assert {d: counts[d] for d in ("empty", "truncated", "refusal", "copy")} == dict.fromkeys(("empty", "truncated", "refusal", "copy"), 904)
+    assert counts["language"] >= 900
+    few = pairs._planted(sound.where("own = 'en'").repartition(5), lookalikes.forms()).where("planted")
+    assert few.where("defect = 'language'").count() == 0 and few.agg(F.sum("n")).first()[0] == 4 * 900
