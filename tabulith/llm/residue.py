@@ -37,8 +37,9 @@ from tabulith.session import table
 #: Documents that counts are reduced to; smaller tables count as they are.
 FIT_DOCS = 2000
 ROUNDS = 4
-#: Characters that are counted at a time.
+#: Characters that are counted at a time, and that are scored at a time.
 FIT_CHARS = 1_000_000
+SCAN_CHARS = 200_000
 ORDER = 5
 BITS = 20
 #: N-grams shorter than this many characters and one have buckets of their own.
@@ -543,30 +544,38 @@ def _count(tally: Tally, texts: list[str], repeated: Repeats) -> None:
     tally.add(symbols, repeated.weights(symbols, starts, rolling), _lesson(symbols, starts, rolling), [])
 
 
-def _count_found(tally: Tally, texts: list[str], repeated: Repeats, model: Model, turn: int) -> None:
-    """Adds the texts in which the model finds residue: what they teach as prose, and their residue."""
+def _found_in(texts: list[str], model: Model, turn: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]] | None:
+    """Of the texts in which the model finds residue the symbols, where each begins, and the places of residue by kind; None if there is none."""
     symbols, starts = _glued(texts)
-    doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
     scores, longest = model.score(symbols)
     # no window runs over the lines between texts, so a text's neighbours do not matter
     scores[(starts[:-1, None] + np.arange(ORDER)).ravel()] = -1000
     at = np.flatnonzero(_marked(scores, starts[1:], FIRST if turn == 1 else WINDOWS))
     if not len(at):
-        return
+        return None
     # spans end with their text
-    spans = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc_of[at], prepend=-1) > 0))
+    doc = np.searchsorted(starts, at, side="right") - 1
+    spans = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(doc, prepend=-1) > 0))
     sums = np.add.reduceat(model.by_kind(longest, at), spans, axis=0)
     kind = np.repeat(sums.argmax(axis=1), np.diff(np.append(spans, len(at))))
     found = [at[kind == k] for k in range(len(KINDS))]
     if turn > 1:
         found[0] = np.union1d(found[0], _following(symbols, scores, found[0], starts))
-    bad = np.zeros(len(texts), dtype=bool)
-    bad[doc_of[at]] = True
-    kept = bad[doc_of]
-    place = np.cumsum(kept) - 1
-    symbols, starts = symbols[kept], np.concatenate([[0], np.cumsum(np.diff(starts)[bad])])
+    bad = np.unique(doc)
+    begins = np.concatenate([[0], np.cumsum(np.diff(starts)[bad])])
+    symbols = np.concatenate([symbols[starts[d] : starts[d + 1]] for d in bad])
+    moved = begins[:-1] - starts[bad]
+    return symbols, begins, [f + moved[np.searchsorted(bad, np.searchsorted(starts, f, side="right") - 1)] for f in found]
+
+
+def _count_found(tally: Tally, held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]], repeated: Repeats) -> None:
+    """Adds texts with residue: what they teach as prose, and their residue."""
+    offsets = np.cumsum([0, *(len(s) for s, _, _ in held)])
+    symbols = np.concatenate([s for s, _, _ in held])
+    starts = np.concatenate([[0], *(b[1:] + o for (_, b, _), o in zip(held, offsets, strict=False))])
+    found = [np.concatenate([f[k] + o for (_, _, f), o in zip(held, offsets, strict=False)]) for k in range(len(KINDS))]
     rolling = Rolling(symbols)
-    tally.add(symbols, repeated.weights(symbols, starts, rolling), _lesson(symbols, starts, rolling), [place[f] for f in found])
+    tally.add(symbols, repeated.weights(symbols, starts, rolling), _lesson(symbols, starts, rolling), found)
 
 
 def _rounds(counted, rows: int) -> Model:
@@ -578,26 +587,34 @@ def _rounds(counted, rows: int) -> Model:
     return model
 
 
-def _parts(texts: list[str]):
-    for _, _, part in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), "text", FIT_CHARS):
+def _parts(texts: list[str], limit: int):
+    for _, _, part in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), "text", limit):
         if part := [t for t in part if t]:
             yield part
 
 
 def _tallied(parts, repeated: Repeats, model: Model | None, turn: int) -> Tally:
     tally = Tally()
+    held, size = [], 0
     for part in parts:
         if model is None:
             _count(tally, part, repeated)
-        else:
-            _count_found(tally, part, repeated, model, turn)
+        elif found := _found_in(part, model, turn):
+            # few texts have residue, so those of many parts are counted together
+            held.append(found)
+            size += len(found[0])
+            if size >= FIT_CHARS:
+                _count_found(tally, held, repeated)
+                held, size = [], 0
+    if held:
+        _count_found(tally, held, repeated)
     return tally
 
 
 def fit(texts: list[str]) -> Model:
     """Models from the training texts and these documents; see the module's text."""
     repeated = _repeats(texts)
-    return _rounds(lambda model, turn: _tallied(_parts(texts), repeated, model, turn), len(texts))
+    return _rounds(lambda model, turn: _tallied(_parts(texts, SCAN_CHARS if model else FIT_CHARS), repeated, model, turn), len(texts))
 
 
 def _record(slot: int, at: bytes | None, data: bytes) -> pa.RecordBatch:
@@ -615,8 +632,9 @@ def fit_table(docs: DataFrame, text: str) -> Model:
         before = context.broadcast(model)
 
         def count(batches):
-            parts = (texts for batch in batches for _, _, texts in chunks(batch, "text", FIT_CHARS))
-            for row in _tallied(parts, repeated.value, before.value, turn).slices():
+            model = before.value
+            parts = (texts for batch in batches for _, _, texts in chunks(batch, "text", SCAN_CHARS if model else FIT_CHARS))
+            for row in _tallied(parts, repeated.value, model, turn).slices():
                 yield _record(*row)
 
         def add(batches):
@@ -687,7 +705,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text", model
         m = shared.value
         for batch in batches:
             keys = batch.column(0)
-            for lo, hi, texts in chunks(batch, "text", CHUNK_CHARS):
+            for lo, hi, texts in chunks(batch, "text", SCAN_CHARS):
                 codes, starts = code_points(texts)
                 rows = hi - lo
                 out = {"n_chars": np.diff(starts), "residue_chars": np.zeros(rows, dtype=np.int64)}

@@ -201,3 +201,18 @@ def test_every_sound_pair_validates(spark):
     assert counts["language"] >= 900
     few = pairs._planted(sound.where("own = 'en'").repartition(5), lookalikes.forms()).where("planted")
     assert few.where("defect = 'language'").count() == 0 and few.agg(F.sum("n")).first()[0] == 4 * 900
+
+
+def test_parts_of_any_size_teach_the_same(monkeypatch):
+    """Texts are scored in small parts, and those with residue are counted together: few additions, the same model."""
+    import numpy as np
+
+    texts = [f"Patients of group {i} had {i * 7 % 50} visits in {i % 12} months; the mean was {i * 3}.{i % 9} points." for i in range(600)] + [f"404 Not Found. The requested page {i} was not found on this server." for i in range(40)]
+    whole = residue.fit(texts)
+    added = []
+    counted = residue._count_found
+    monkeypatch.setattr(residue, "_count_found", lambda tally, held, repeated: (added.append(len(held)), counted(tally, held, repeated)))
+    monkeypatch.setattr(residue, "SCAN_CHARS", 700)
+    split = residue.fit(texts)
+    assert all(np.array_equal(a, b) for a, b in zip((*whole.ratio, *whole.kinds), (*split.ratio, *split.kinds), strict=True))
+    assert len(added) == residue.ROUNDS - 1 and max(added) > 1
